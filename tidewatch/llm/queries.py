@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .langid import op5_langid
+from .simhash import op4_simhash_bktree
 
-QUERIES = {"op5_langid": op5_langid}
+QUERIES = {
+    "op4_simhash_bktree": op4_simhash_bktree,
+    "op5_langid": op5_langid,
+}
 ORACLE_SQL: dict[str, str] = {}
