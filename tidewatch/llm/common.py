@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .textblocks import Words, blocks
 
 #: The words of all contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +80,34 @@ def crc_mod(column: str, n: int):
 def share_below(limit: float, *columns):
     """True for about ``limit`` (0 to 1) of the rows, always the same ones."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 24)) < F.lit(int(limit * (1 << 24)))
+
+
+def word_counts(docs: DataFrame, text: str = "text", name: str = "size", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or just its columns ``keep``) with the number of words of each whole text; null: 0."""
+    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.zeros(0, np.int64)]
+            counts += [Words(flat, at).counts for _, _, flat, at in blocks(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(counts))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def matched(docs: DataFrame, decided: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``docs`` joined with ``decided``, which has one row for each null-safe key and the number ``count`` of
+    rows of ``docs`` that have it; of rows that are repeated, one is left."""
+
+    def by_keys(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys and c != count])
+        on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
+        joined = left.join(right, on, how)
+        return joined.drop(*[f"__{k}" for k in keys])
+
+    repeated = decided.where(F.col(count) > 1)
+    if repeated.isEmpty():
+        return by_keys(docs, decided, "inner")
+    few = by_keys(docs, repeated.select(*keys, count), "left_semi").dropDuplicates(keys)
+    return by_keys(docs, decided.where(F.col(count) == 1), "inner").unionByName(by_keys(few, repeated, "inner"))

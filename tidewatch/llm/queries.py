@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .langid import op5_langid
+from .mixing import op8_curriculum_mix
+from .quality_mil import op3_quality_mil
 from .simhash import op4_simhash_bktree
 
 QUERIES = {
+    "op3_quality_mil": op3_quality_mil,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_langid": op5_langid,
+    "op8_curriculum_mix": op8_curriculum_mix,
 }
 ORACLE_SQL: dict[str, str] = {}

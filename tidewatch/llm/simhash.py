@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, table, unused, written
+from .common import drop_written, matched, table, unused, written
 from .textblocks import utf8
 
 RADIUS = 2
@@ -273,11 +273,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # least() of structs puts a null doc_id first; a document with an id is preferred
     ordered = prints.select(F.struct(F.col("id.doc_id").isNull().alias("none"), F.col("id.doc_id").alias("doc_id"), F.col(f"id.{sign}").alias("sign")).alias("id"), "fp")
     placed = ordered.groupBy("id", "fp").agg(F.count("*").alias("n")).join(groups(ordered, "id"), "fp")
-    decided = written(placed.select(F.col("id.doc_id").alias("k"), F.col("id.sign").alias("s"), "n", (F.col("id") == F.col("least")).alias("stays")), "simhash-decided")
-    same = signed["doc_id"].eqNullSafe(F.col("k")) & (signed[sign] == F.col("s"))
-    kept = signed.join(decided.where("not stays").select("k", "s"), same, "left_anti")
-    repeated = decided.where("stays and n > 1").select("k", "s")
-    if not repeated.isEmpty():
-        once = signed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", sign])
-        kept = kept.join(repeated, kept["doc_id"].eqNullSafe(F.col("k")) & (kept[sign] == F.col("s")), "left_anti").unionByName(once)
+    staying = placed.where(F.col("id") == F.col("least")).select(F.col("id.doc_id").alias("doc_id"), F.col("id.sign").alias(sign), "n")
+    kept = matched(signed, written(staying, "simhash-staying"), ["doc_id", sign], "n")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
