@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid
+from tidewatch.llm import langid, mixing, packing, quality_mil, simhash
 from tidewatch.llm.common import table, written
 
 STAGES = [
     ("language ID", langid.stage),
+    ("quality classifier", quality_mil.stage),
+    ("SimHash near-dedup", simhash.stage),
+    ("mixing to target weights", mixing.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: Learned models and iterative components: no SQL form. tests/llm/test_pipeline.py holds it against brute force.
