@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .langid import op5_langid
+from .media import op1_webp_media
 from .mixing import op8_curriculum_mix
 from .packing import op2_best_fit_packing
 from .quality_mil import op3_quality_mil
 from .simhash import op4_simhash_bktree
 
 QUERIES = {
+    "op1_webp_media": op1_webp_media,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_mil": op3_quality_mil,
     "op4_simhash_bktree": op4_simhash_bktree,
