@@ -8,6 +8,8 @@ from .mixing import op8_curriculum_mix
 from .packing import op2_best_fit_packing
 from .quality_mil import op3_quality_mil
 from .simhash import op4_simhash_bktree
+from .url_rules import OP10_SQL, op10_url_rules
+from .weak_rules import op9_weak_rules
 
 QUERIES = {
     "op1_webp_media": op1_webp_media,
@@ -16,5 +18,7 @@ QUERIES = {
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_langid": op5_langid,
     "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_weak_rules": op9_weak_rules,
+    "op10_url_rules": op10_url_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_url_rules": OP10_SQL}
