@@ -8,6 +8,8 @@ from .mixing import op8_curriculum_mix
 from .packing import op2_best_fit_packing
 from .quality_mil import op3_quality_mil
 from .simhash import op4_simhash_bktree
+from .token_scan import op6_token_scan
+from .toxicity import op7_ordinal_toxicity
 from .url_rules import OP10_SQL, op10_url_rules
 from .weak_rules import op9_weak_rules
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_quality_mil": op3_quality_mil,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_langid": op5_langid,
+    "op6_token_scan": op6_token_scan,
+    "op7_ordinal_toxicity": op7_ordinal_toxicity,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_weak_rules": op9_weak_rules,
     "op10_url_rules": op10_url_rules,
