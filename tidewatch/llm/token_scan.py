@@ -139,4 +139,5 @@ def op6_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = written(write_token_files(docs, fresh_path(spark, "token-files")), "token-index")
     lengths = document_lengths(index.where("file_bytes is not null").select("file", "file_bytes"))
-    return index.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the documents, however well they compress: never a broadcast
+    return index.hint("merge").join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens")
