@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import motion_queries, reader_queries, recorder_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = motion_queries.QUERIES | recorder_queries.QUERIES | reader_queries.QUERIES
+ORACLE_SQL = motion_queries.ORACLE_SQL | recorder_queries.ORACLE_SQL | reader_queries.ORACLE_SQL
