@@ -32,7 +32,7 @@ from .common import table, word_counts, written
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: Cost of a sequence: its length (padding included), attention that grows with its square, and a fixed part.
 FIXED_COST, SQUARE_COST = 16.0, 1 / 16384
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 400
 
 
 def cost(capacity: int) -> float:
