@@ -95,7 +95,8 @@ def position_of(share: Column, segments: Column) -> Column:
     u, width = share - s["u0"], s["t1"] - s["t0"]
     slope = (s["w1"] - s["w0"]) / width
     root = F.sqrt(F.greatest(F.lit(0.0), s["w0"] * s["w0"] + 2 * slope * u))
-    return F.least(s["t1"], s["t0"] + 2 * u / (s["w0"] + root))  # stable for slope 0 too
+    ahead = F.coalesce(F.try_divide(2 * u, s["w0"] + root), F.lit(0.0))  # stable for slope 0 too; 0 / 0 is the start
+    return F.least(s["t1"], s["t0"] + ahead)
 
 
 def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", share: float = SHARE, limit: float = LIMIT, more: tuple[str, ...] = ()) -> DataFrame:
