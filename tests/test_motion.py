@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tidewatch.config import ClipConfig, EventConfig
 from tidewatch.functions.timebase import Timebase
-from tidewatch.operators import clips, fold, motion, stride
+from tidewatch.operators import chunked, clips, fold, motion, stride
 from tidewatch.operators.fold import Frame
 from tidewatch.streaming.motion import motion_event_stream, run_available
 
@@ -74,9 +74,11 @@ def as_sets(found, expected):
 def test_windows_equal_fold_on_random_streams(spark, cases, times):
     rows = [(str(k), i, t, s) for k, frames in enumerate(cases) for i, (t, s) in enumerate(frames)]
     found = motion.motion_events(spark.createDataFrame(rows, SCHEMA), config(times)).collect()
+    cut = chunked.motion_events(spark.createDataFrame(rows, SCHEMA), config(times), chunk_ms=4.0).collect()
     for k, frames in enumerate(cases):
         expected = list(fold.fold([Frame(*f) for f in frames], config(times)))
-        assert as_sets([r for r in found if r["cam_id"] == str(k)], expected), (frames, times)
+        for rows in (found, cut):
+            assert as_sets([r for r in rows if r["cam_id"] == str(k)], expected), (frames, times)
 
 
 def test_settings_without_a_closed_form_are_refused(spark):

@@ -49,9 +49,9 @@ def member_frames(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str
     return rows.where((F.col("act_id") >= 1) & (F.col("_closed") == F.col("_closed_at_open")))
 
 
-def activations(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str = "cam_id", t: str = "pts_ms", order: str = "frame_id", telemetry: bool = False, all_lengths: bool = False) -> DataFrame:
-    """One row for each activation that lasts ``min_event_ms`` (or for all): key, act_id, start_ms, stop_ms,
-    max_score, close_ms (null if only the end of the stream closes it), watched_ms (the frame before that)."""
+def grouped(members: DataFrame, key: str = "cam_id", t: str = "pts_ms", order: str = "frame_id", telemetry: bool = False) -> DataFrame:
+    """Member frames to one row for each activation: key, act_id, start_ms, stop_ms, max_score, close_ms (null if
+    only the end of the stream closes it), watched_ms (the frame before that)."""
     aggregates = [
         F.min(t).alias("start_ms"),
         F.max(F.when(F.col("_on"), F.col(t))).alias("stop_ms"),
@@ -69,7 +69,12 @@ def activations(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str =
             *[F.max(_number(F.col(c))).alias(c) for c in ("foliage_motion_frac", "wind_idx", "zones_active_frac")],
             F.coalesce(F.max_by("wind_state", F.when(said, place)), F.min_by("wind_state", place)).alias("wind_state"),
         ]
-    found = member_frames(frames, cfg, key, t, order).groupBy(key, "act_id").agg(*aggregates)
+    return members.groupBy(key, "act_id").agg(*aggregates)
+
+
+def activations(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str = "cam_id", t: str = "pts_ms", order: str = "frame_id", telemetry: bool = False, all_lengths: bool = False) -> DataFrame:
+    """The activations that last ``min_event_ms``, or all of them."""
+    found = grouped(member_frames(frames, cfg, key, t, order), key, t, order, telemetry)
     return found if all_lengths else found.where(F.col("stop_ms") - F.col("start_ms") >= cfg.min_event_ms)
 
 

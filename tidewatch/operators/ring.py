@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed layout of a slot: magic, version, format, -, width, height, stride, frame id, PTS, payload bytes, -.
 HEADER = struct.Struct("<IHBBHHIQQII")
@@ -25,21 +27,33 @@ def slot_bytes(stride: Column, height: Column) -> Column:
     return F.lit(HEADER.size) + stride * height
 
 
-def _little_endian(data: Column, start: int, size: int) -> Column:
-    """An unsigned number of ``size`` bytes from byte ``start`` on, as a long."""
-    digits = F.concat(*[F.hex(F.substring(data, start + size - i, 1)) for i in range(size)])
-    return F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long")
+#: Header fields that a table keeps, with their place and type.
+FIELDS = np.dtype(
+    {
+        "names": ["magic", "version", "fmt_code", "width", "height", "stride", "frame_id", "pts_ns", "payload_len"],
+        "formats": ["<u4", "<u2", "u1", "<u2", "<u2", "<u4", "<u8", "<u8", "<u4"],
+        "offsets": [0, 4, 6, 8, 10, 12, 16, 24, 32],
+        "itemsize": HEADER.size,
+    }
+)
 
 
 def slot_headers(slots: DataFrame, data: str = "slot") -> DataFrame:
-    """Adds the header's fields of binary slots, and keeps slots of the right magic and version; built-ins only."""
-    fields = [("magic", 4), ("version", 2), ("fmt_code", 1), (None, 1), ("width", 2), ("height", 2), ("stride", 4), ("frame_id", 8), ("pts_ns", 8), ("payload_len", 4)]
-    rows, at = slots.where(F.octet_length(F.col(data)) >= HEADER.size), 0
-    for name, size in fields:
-        if name:
-            rows = rows.withColumn(name, _little_endian(F.col(data), at, size))
-        at += size
-    return rows.where((F.col("magic") == MAGIC) & (F.col("version") == VERSION)).drop("magic", "version")
+    """Adds the header's fields of binary slots, and keeps slots of the right magic and version. A batch of headers
+    is read as one structured array."""
+    kept = [n for n in FIELDS.names if n not in ("magic", "version")]
+    schema = T.StructType([*slots.schema.fields, *(T.StructField(n, T.LongType()) for n in kept)])
+    place, size = slots.columns.index(data), HEADER.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [b[:size] if b is not None and len(b) >= size else bytes(size) for b in batch.column(place).to_pylist()]
+            found = np.frombuffer(b"".join(heads), FIELDS)
+            good = pa.array((found["magic"] == MAGIC) & (found["version"] == VERSION))
+            columns = [*batch.columns, *(pa.array(found[n].astype(np.int64)) for n in kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(good)
+
+    return slots.mapInArrow(run, schema)
 
 
 def live_first(polls: DataFrame, ring: str = "ring_id", poll: str = "poll", frame: str = "frame_id") -> DataFrame:
@@ -52,13 +66,15 @@ def live_first(polls: DataFrame, ring: str = "ring_id", poll: str = "poll", fram
     kind, poll_kind = polls.schema[ring].dataType.simpleString(), polls.schema[poll].dataType.simpleString()
 
     def fold(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        seen, out = -1, []
-        for at, ids in rows.groupby(poll, sort=True)[frame]:
-            newest, later = ids.max(), ids[ids > seen]
-            jump = seen < 0 or newest - seen > 2 or later.empty
-            taken = int(newest if jump else later.min())
+        order = np.lexsort((rows[frame], rows[poll]))
+        at, ids = rows[poll].to_numpy()[order], rows[frame].to_numpy()[order]
+        edges = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist(), len(at)]
+        every, seen, out = ids.tolist(), -1, []
+        for low, high in zip(edges, edges[1:]):
+            newest, next_new = every[high - 1], bisect.bisect_right(every, seen, low, high)
+            taken = newest if seen < 0 or newest - seen > 2 or next_new == high else every[next_new]
             if taken != seen:
-                out.append((keys[0], at, taken))
+                out.append((keys[0], at[low], taken))
                 seen = taken
         return pd.DataFrame(out, columns=[ring, poll, "taken_id"])
 

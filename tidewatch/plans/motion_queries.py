@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MotionConfig
 from ..functions import scoring, timebase
 from ..functions.timebase import Timebase
-from ..operators import fold, motion, stride
+from ..operators import chunked, fold, motion, stride
 from ..scratch import scratch_path
 from ..sinks import sidecar
 from ..sources.files import read_sidecar
@@ -129,6 +129,12 @@ def motion_events_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.motion_events_fold(frames(spark, sf_dir, True), EVENTS).select(*TELEMETRY)
 
 
+def motion_events_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras cut into chunks of three days, as for cameras that no single task can hold."""
+    found = chunked.motion_events(frames(spark, sf_dir, True), EVENTS, 3 * 86_400_000.0, telemetry=True)
+    return found.select(*TELEMETRY)
+
+
 def motion_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming twin over four micro-batches, the last of which ends every camera."""
     path = scratch_path(spark, "stream")
@@ -168,6 +174,7 @@ QUERIES = {f"timebase_{u}": _timebase(u) for u in RAW} | {
         motion_events_telemetry,
         motion_events_emit,
         motion_events_fold,
+        motion_events_chunked,
         motion_events_stream,
         motion_event_sidecar,
     )
@@ -190,6 +197,7 @@ SELECT a.cam_id, a.frame_id, a.pts_ms, b.score FROM numbered a JOIN numbered b O
     "motion_events_telemetry": _TELEMETRY_SQL,
     "motion_events_emit": events_sql("cam_id, start_ms, stop_ms, emit_ms"),
     "motion_events_fold": _TELEMETRY_SQL,
+    "motion_events_chunked": _TELEMETRY_SQL,
     "motion_events_stream": _TELEMETRY_SQL,
     "motion_event_sidecar": events_sql(_SIDECAR_SQL),
 }
