@@ -42,9 +42,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` cut from its lineage: written once as a table in the shared folder, and read from there."""
+#: Rows that a task of a small intermediate table reads, and a file of it holds, about.
+ROWS_A_TASK = 50_000
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """``df`` cut from its lineage: written once as a table in the shared folder, and read from there.
+
+    rows: how many rows the last step of ``df`` reads, if known; tasks and files are then no more than these need.
+    """
     spark, schema = df.sparkSession, df.schema
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)

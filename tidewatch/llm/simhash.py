@@ -99,7 +99,7 @@ def sharded(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     far more than ``2 * crowd`` nodes."""
     whole = F.lit(0).cast("long").alias("part")
     first = _dealt(nodes, F.col("fp"), 16, F.lit(0).cast("long"), "fp")
-    hot = written(_crowded(first, crowd).select("shard"), "simhash-hot")
+    hot = written(_crowded(first, crowd).select("shard"), "simhash-hot", 6 * nodes.count())
     if hot.isEmpty():
         return first.select("shard", whole, "fp")
     cool = first.join(hot, "shard", "left_anti").select("shard", whole, "fp")
@@ -212,14 +212,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of an edge list (a, b): root is the least node that it reaches.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for each node of an edge list (a, b) of at most ``rows`` rows: root is the least node that it reaches.
 
     Each round replaces the edges by large stars, then by small stars, which keeps connectivity and ends,
     after a number of rounds logarithmic in the length of chains, with each node at its root. Minima are
     aggregated before they are joined back, so that a star's centre is never gathered in one task.
     """
-    now = written(edges.where("a <> b").distinct(), "stars")
+    now = written(edges.where("a <> b").distinct(), "stars", rows)
     state = _state(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -228,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        then = written(small.distinct(), "stars")
+        then = written(small.distinct(), "stars", 2 * state[0])
         drop_written(now)
         now, before, state = then, state, _state(then)
         if state == before:
@@ -237,8 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(fp, root, least): each distinct fingerprint, its component and the component's smallest key."""
-    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("own")), "simhash-nodes")
-    roots = components(star_edges(sharded(nodes.select("fp"), crowd), radius))
+    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("own")), "simhash-nodes", prints.count())
+    roots = components(star_edges(sharded(nodes.select("fp"), crowd), radius), 6 * nodes.count())
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("own").alias("least"))
     return placed.join(least, "root").select("fp", "root", "least")
