@@ -58,11 +58,22 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - f[:, None], -500, 500)))
 
 
-def telling_columns(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, width: int, chance: float = 3.0) -> np.ndarray:
-    """1, -1 or 0 for each column: found in surprisingly many toxic documents, in surprisingly few, or neither.
+def unlike(sets: list[np.ndarray], least: int = 4) -> list[int]:
+    """Places of sets of which no earlier one is a copy or near copy: their ``least`` smallest columns differ.
 
-    The shares must lie so many standard errors apart that, of all columns that three documents or more
-    have, only about ``chance`` get through on each side by chance.
+    A group of copies would otherwise vouch, document by document, for every word in it.
+    """
+    first: dict[bytes, int] = {}
+    for i, x in enumerate(sets):
+        first.setdefault(x[:least].tobytes(), i)
+    return sorted(first.values())
+
+
+def telling_columns(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, width: int, chance: float = 3.0, share: float = 0.01, times: float = 3.0) -> np.ndarray:
+    """True for each column that tells of toxicity.
+
+    A telling word is in ``share`` of all toxic documents or more, in a share of them ``times`` as large as that of clean ones, and so many standard errors above it
+    that, of all columns that three documents or more have, only about ``chance`` would be by chance.
     """
     doc = np.repeat(np.arange(len(toxic)), np.diff(where))
     n_bad = toxic.sum()
@@ -73,14 +84,13 @@ def telling_columns(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, wi
     z = (bad / n_bad - good / n_good) / np.sqrt(pooled * np.maximum(1 - pooled, 1e-12) * (1 / n_bad + 1 / n_good))
     judged = np.count_nonzero(bad + good >= 3)
     surprise = NormalDist().inv_cdf(1 - chance / max(judged, 20 * chance))
-    z[bad + good < 3] = 0
-    return np.where(z >= surprise, 1, np.where(z <= -surprise, -1, 0))
+    return (z >= surprise) & (bad + good >= 3) & (bad >= share * n_bad) & (bad / n_bad >= times * good / n_good)
 
 
 def grades(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, telling: np.ndarray) -> np.ndarray:
     """Clean: 0; toxic with at most their median of telling words: 1; with more: 2."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(where))
-    hits = np.bincount(doc, weights=telling[column] > 0, minlength=len(toxic))
+    hits = np.bincount(doc, weights=telling[column], minlength=len(toxic))
     return np.where(toxic == 0, 0, np.where(hits > np.median(hits[toxic == 1]), 2, 1))
 
 
@@ -96,9 +106,9 @@ def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.nda
         return OrdinalModel(weights, np.array([20.0, 21.0]))
     telling = telling_columns(column, where, toxic, width)
     grade = grades(column, where, toxic, telling)
-    index = np.cumsum(telling != 0) - 1
+    index = np.cumsum(telling) - 1
     doc = np.repeat(np.arange(len(toxic)), np.diff(where))
-    keep = telling[column] != 0
+    keep = telling[column]
     column, doc = index[column[keep]], doc[keep]
     n = int(index[-1]) + 1
     w, low, gap = np.zeros(n), 1.0, 0.0  # thresholds: low, low + exp(gap)
@@ -119,7 +129,7 @@ def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.nda
         squares = [s + x**2 for s, x in zip(squares, g)]
         w = w + rate * g[0] / np.sqrt(squares[0])
         low, gap = low + rate * g[1] / np.sqrt(squares[1]), gap + rate * g[2] / np.sqrt(squares[2])
-    weights[telling != 0] = w
+    weights[telling] = w
     return OrdinalModel(weights, np.array([low, low + np.exp(gap)]))
 
 
@@ -145,6 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     schema = T.StructType([sample.schema[key], T.StructField("label", T.IntegerType()), T.StructField("words", T.BinaryType())])
     got = sample.mapInArrow(encode, schema).toPandas().sort_values([key, "label", "words"])
     sets = [np.frombuffer(b, np.int32) for b in got["words"]]
+    own = unlike(sets)
+    sets, got = [sets[i] for i in own], got.iloc[own]
     where = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
     toxic = got["label"].to_numpy(dtype=float)
     return fit(np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int64), where, toxic, np.array([1 / rates[int(k)] for k in toxic]), bits)
