@@ -81,14 +81,14 @@ def test_naive_bayes_equals_counting_by_hand(spark):
 def test_language_of_odd_rows(spark, odd, odd_rows, empty):
     model = langid.train(odd)
     assert model.languages == ("de", "en")
-    found = langid.identify(odd.drop("score"), model).collect()
+    found = langid.identify(odd, model).collect()
     assert len(found) == len(odd_rows)
     for r in found:
         silent = not any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == silent and 0 <= r["score"] <= 1 and (r["score"] == 0) == silent
-    assert langid.identify(empty.drop("score"), model).count() == 0
+    assert langid.identify(empty, model).count() == 0
     none = langid.train(empty)
-    assert none.languages == () and {r["lang_pred"] for r in langid.identify(odd.drop("score"), none).collect()} == {"und"}
+    assert none.languages == () and {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
     assert langid.stage(spark, odd, "").columns == odd.columns
 
 
@@ -141,12 +141,12 @@ def test_attention_weights_sum_to_one_and_passages_cover_the_text():
 def test_quality_of_odd_rows(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(12, 1), (13, 0), (14, 1), (14, 1), (None, 0), (15, None), (16, 5)], "doc_id long, quality int")
     model = quality_mil.train(odd, labels)
-    found = quality_mil.score(odd.drop("score"), model).collect()
+    found = quality_mil.score(odd, model).collect()
     assert len(found) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in found)
     assert len({r["score"] for r in found if r["doc_id"] == 5}) == 1
-    assert quality_mil.score(empty.drop("score"), model).count() == 0
+    assert quality_mil.score(empty, model).count() == 0
     alike = quality_mil.train(odd, labels.where("quality = 1"))
-    assert len({round(r["score"], 6) for r in quality_mil.score(odd.drop("score"), alike).collect()}) == 1
+    assert len({round(r["score"], 6) for r in quality_mil.score(odd, alike).collect()}) == 1
 
 
 def test_quality_on_held_out_rows(spark, data):
@@ -189,10 +189,10 @@ def test_ordinal_model_orders_severity():
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(12, 1), (13, 0), (14, 0), (None, 1), (15, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
-    found = toxicity.grade(odd.drop("score"), model).collect()
+    found = toxicity.grade(odd, model).collect()
     assert len(found) == len(odd_rows) and all(0 <= r["severity"] <= 2 and 0 <= r["score"] <= 1 for r in found)
-    assert toxicity.grade(empty.drop("score"), model).count() == 0
-    assert not any(r["toxic"] for r in toxicity.grade(odd.drop("score"), toxicity.train(odd, labels.where("toxic = 0"))).collect())
+    assert toxicity.grade(empty, model).count() == 0
+    assert not any(r["toxic"] for r in toxicity.grade(odd, toxicity.train(odd, labels.where("toxic = 0"))).collect())
 
 
 def test_toxicity_against_labels(spark, data):

@@ -224,14 +224,14 @@ def brute_statistics(text):
 
 
 def test_statistics_of_odd_rows(odd, odd_rows, empty):
-    stats = written(weak_rules.measured(odd.drop("pattern"), keep=["doc_id"]), "test")
+    stats = written(weak_rules.measured(odd, keep=["doc_id"]), "test")
     order = lambda r: tuple((x is None, x) for x in r)
     found = sorted(((r["doc_id"], *(r[x] for x in weak_rules.STATS)) for r in stats.collect()), key=order)
     assert found == sorted(((r[0], *brute_statistics(r[1])) for r in odd_rows), key=order)
     for r in weak_rules.judged(stats).collect():
         failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
         assert r["base_failed"] == failed and r["kept"] == (not failed and r["quality"] >= 0.5)
-    assert weak_rules.judged(weak_rules.measured(empty.drop("pattern"))).count() == 0
+    assert weak_rules.judged(weak_rules.measured(empty)).count() == 0
 
 
 def test_rule_query(spark, data):

@@ -124,7 +124,7 @@ def test_large_payload_has_wider_rows():
 
 
 def test_operator_on_odd_rows(spark, odd, odd_rows, empty):
-    stored = media.store_texts(odd.drop("media"), keep=["doc_id", "score"])
+    stored = media.store_texts(odd, keep=["doc_id", "score"])
     found = media.decode_media(stored, grey=True).collect()
     key = lambda r: (r is None, r)
     assert sorted((r["doc_id"] for r in found), key=key) == sorted((r[0] for r in odd_rows), key=key)
@@ -134,7 +134,7 @@ def test_operator_on_odd_rows(spark, odd, odd_rows, empty):
             whole = media.payload(by_text[r["doc_id"]])
             assert r["n_bytes"] == len(by_text[r["doc_id"]]) and r["error"] is None
             assert bytes(r["pixels"])[: len(whole)] == whole and r["width"] * r["height"] == len(r["pixels"])
-    assert media.decode_media(media.store_texts(empty.drop("media")), keep=[]).count() == 0
+    assert media.decode_media(media.store_texts(empty), keep=[]).count() == 0
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"junk")), (3, bytearray(media.stored(media.payload(b"x"))[:-9]))], "id long, media binary")
     said = {r["id"]: (r["pixels"], r["error"]) for r in media.decode_media(bad).collect()}
     assert said[1] == (None, None) and said[2][0] is None and said[2][1] and said[3][1]

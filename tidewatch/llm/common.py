@@ -81,6 +81,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def passed_on(df: DataFrame, keep: list[str] | None, *new: str) -> list[int]:
+    """Places of the columns of ``df`` that pass through an operator: all or ``keep``, but those that its ``new`` columns replace."""
+    taken = {n.lower() for n in new}
+    return [i for i, c in enumerate(df.columns) if c.lower() not in taken and (keep is None or c in keep)]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, mod n; null stays null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
@@ -93,7 +99,7 @@ def share_below(limit: float, *columns):
 
 def word_counts(docs: DataFrame, text: str = "text", name: str = "size", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or just its columns ``keep``) with the number of words of each whole text; null: 0."""
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    place, kept = docs.columns.index(text), passed_on(docs, keep, name)
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

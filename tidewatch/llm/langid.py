@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, share_below, table, unused
+from .common import crc_mod, passed_on, share_below, table, unused
 from .textblocks import blocks, sums
 
 ORDERS = (1, 2, 3)
@@ -157,12 +157,12 @@ def identify(
 
     A text that is null or has no letter gets ``und`` and score 0; ties go to the language first by code
     point. The score is the posterior of the winner with the evidence tempered to ``model.temper`` n-grams,
-    so that long texts do not all saturate. Repeated rows get equal answers; other columns pass through,
-    so ``lang_col`` and ``score_col`` must not be among them.
+    so that long texts do not all saturate. Repeated rows get equal answers; other columns pass through, and
+    columns of the same names as the new ones are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # (2**bits + 1) x languages float32, whatever the input
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    place, kept = docs.columns.index(text), passed_on(docs, keep, lang_col, score_col)
     fields = [docs.schema.fields[i] for i in kept]
     schema = T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, share_below, table, unused
+from .common import crc_mod, passed_on, share_below, table, unused
 from .textblocks import Words, blocks
 
 PASSAGE = 64
@@ -213,10 +213,10 @@ def score(docs: DataFrame, model: MilModel, text: str = "text", score_col: str =
     """``docs`` (or just its columns ``keep``) with the probability, 0 to 1, of label 1.
 
     Every passage of the whole text takes part. A null or word-less text is one empty passage and gets a
-    score like any other; repeated rows get equal scores; an empty table stays empty. ``score_col`` must
-    not be among the columns.
+    score like any other; repeated rows get equal scores; an empty table stays empty. A column of
+    the name ``score_col`` is replaced.
     """
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    place, kept = docs.columns.index(text), passed_on(docs, keep, score_col)
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
 

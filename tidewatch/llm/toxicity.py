@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share_below, table
+from .common import passed_on, share_below, table
 from .textblocks import Words, blocks
 
 BITS = 20
@@ -166,10 +166,11 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: list[s
     """``docs`` (or just its columns ``keep``) with score (P(grade > 0)), severity (expected grade), grade (likeliest) and toxic.
 
     All words of the whole text count. Null and word-less texts have latent severity 0, hence grade 0 unless
-    the thresholds say otherwise; repeated rows get equal answers; an empty table stays empty.
+    the thresholds say otherwise; repeated rows get equal answers; an empty table stays empty. Columns of the new
+    names are replaced.
     """
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
     new = [("score", T.DoubleType()), ("severity", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.BooleanType())]
+    place, kept = docs.columns.index(text), passed_on(docs, keep, *[n for n, _ in new])
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), *(T.StructField(*x) for x in new)])
     # 2**BITS float32 at most, whatever the input; most are 0, so only the others travel
     full = np.flatnonzero(model.weights)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import passed_on, table, written
 from .textblocks import BASE, BYTE, INVERSE, SPACE, Words, blocks, mix, powers, sums
 
 SYMBOLS = b"#*$%&|<>"
@@ -134,8 +134,9 @@ def statistics(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or just its columns ``keep``) with the base statistics and the vote pattern: base-3 digits of votes + 1."""
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    """``docs`` (or just its columns ``keep``) with the base statistics and the vote pattern: base-3
+    digits of votes + 1. Columns of the new names are replaced."""
+    place, kept = docs.columns.index(text), passed_on(docs, keep, *STATS, "pattern")
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), *(T.StructField(x, T.LongType()) for x in (*STATS, "pattern"))])
     digits = 3 ** np.arange(len(RULES))
 
