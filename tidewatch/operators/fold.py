@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import EventConfig
+from .sequential import fold_by_key
 
 
 class Frame(NamedTuple):
@@ -119,14 +120,15 @@ OUTPUT = "start_ms double, stop_ms double, max_score double, wind_like boolean,
 
 
 def motion_events_fold(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str = "cam_id", t: str = "pts_ms", order: str = "frame_id", arrival: str | None = None) -> DataFrame:
-    """Events by the fold, a camera at a time; ``arrival`` names a column to order by in place of (t, frame_id)."""
+    """Events by the fold; ``arrival`` names a column to order by in place of (t, frame_id). Of a camera only its state is held."""
     kind = frames.schema[key].dataType.simpleString()
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([arrival] if arrival else [t, order], kind="stable")
-        spans = list(fold(frames_of(rows, t), cfg))
-        out = pd.DataFrame(spans, columns=["start_ms", "stop_ms", *Span._fields[2:]])
-        out.insert(0, key, keys[0])
-        return out
+    def feed(k, held: list[State], rows: pd.DataFrame) -> Iterator[tuple]:
+        for frame in frames_of(rows, t):
+            held[0], done = step(held[0], frame, cfg)
+            yield from ((k, *span) for span in done)
 
-    return frames.groupBy(key).applyInPandas(run, f"{key} {kind}, {OUTPUT}")
+    def end(k, held: list[State]) -> Iterator[tuple]:
+        return ((k, *span) for span in flush(held[0], cfg))
+
+    return fold_by_key(frames, key, [arrival] if arrival else [t, order], f"{key} {kind}, {OUTPUT}", lambda: [State()], feed, end)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import MotionConfig
+from .sequential import fold_by_key
 
 
 class Background(Protocol):
@@ -96,18 +97,19 @@ def motion_counts(
     """
     kinds = {c: frames.schema[c].dataType.simpleString() for c in (key, order, t)}
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([t, order], kind="stable")
-        model, held, out = background(cfg), (0, 0), []
-        for i, (frame_id, at, w, h, img) in enumerate(zip(rows[order], rows[t], rows["width"], rows["height"], rows["img"])):
-            if i % max(1, cfg.stride) == 0:
-                held = (0, 0)
+    def feed(k, state: dict, rows: pd.DataFrame) -> list[tuple]:
+        out: list[tuple] = []
+        for frame_id, at, w, h, img in zip(rows[order].tolist(), rows[t].tolist(), rows["width"], rows["height"], rows["img"]):
+            if state["n"] % max(1, cfg.stride) == 0:
+                state["held"] = (0, 0)
                 try:
-                    if model is not None:
-                        held = foreground_pixels(model, np.frombuffer(img, np.uint8).reshape(h, w, 3), cfg)
+                    if state["model"] is not None:
+                        state["held"] = foreground_pixels(state["model"], np.frombuffer(img, np.uint8).reshape(h, w, 3), cfg)
                 except (ValueError, TypeError, ArithmeticError):
                     pass
-            out.append((keys[0], frame_id, at, *held))
-        return pd.DataFrame(out, columns=[key, order, t, "fg_pixels", "total_pixels"])
+            state["n"] += 1
+            out.append((k, frame_id, at, *state["held"]))
+        return out
 
-    return frames.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {t} {kinds[t]}, fg_pixels long, total_pixels long")
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {t} {kinds[t]}, fg_pixels long, total_pixels long"
+    return fold_by_key(frames, key, [t, order], schema, lambda: {"model": background(cfg), "n": 0, "held": (0, 0)}, feed)

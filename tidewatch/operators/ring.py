@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequential import fold_by_key
+
 #: Fixed layout of a slot: magic, version, format, -, width, height, stride, frame id, PTS, payload bytes, -.
 HEADER = struct.Struct("<IHBBHHIQQII")
 MAGIC, VERSION = 0x53484D46, 1
@@ -65,20 +67,27 @@ def live_first(polls: DataFrame, ring: str = "ring_id", poll: str = "poll", fram
     """
     kind, poll_kind = polls.schema[ring].dataType.simpleString(), polls.schema[poll].dataType.simpleString()
 
-    def fold(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((rows[frame], rows[poll]))
-        at, ids = rows[poll].to_numpy()[order], rows[frame].to_numpy()[order]
-        edges = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist(), len(at)]
-        every, seen, out = ids.tolist(), -1, []
-        for low, high in zip(edges, edges[1:]):
-            newest, next_new = every[high - 1], bisect.bisect_right(every, seen, low, high)
-            taken = newest if seen < 0 or newest - seen > 2 or next_new == high else every[next_new]
-            if taken != seen:
-                out.append((keys[0], at[low], taken))
-                seen = taken
-        return pd.DataFrame(out, columns=[ring, poll, "taken_id"])
+    def pick(seen: int, ids: list[int]) -> int:
+        newest, later = ids[-1], bisect.bisect_right(ids, seen)
+        return newest if seen < 0 or newest - seen > 2 or later == len(ids) else ids[later]
+
+    def taken(k, state: dict) -> list[tuple]:
+        """The poll that has been read, once it is known to be whole."""
+        got = pick(state["seen"], state["ids"]) if state["ids"] else state["seen"]
+        found = [(k, state["poll"], got)] if got != state["seen"] else []
+        state["seen"], state["ids"] = got, []
+        return found
+
+    def feed(k, state: dict, rows: pd.DataFrame) -> list[tuple]:
+        out: list[tuple] = []
+        for at, x in zip(rows[poll].tolist(), rows[frame].tolist()):
+            if at != state["poll"]:
+                out += taken(k, state)
+                state["poll"] = at
+            state["ids"].append(x)
+        return out
 
-    return polls.groupBy(ring).applyInPandas(fold, f"{ring} {kind}, {poll} {poll_kind}, taken_id long")
+    return fold_by_key(polls, ring, [poll, frame], f"{ring} {kind}, {poll} {poll_kind}, taken_id long", lambda: {"seen": -1, "poll": None, "ids": []}, feed, taken)
 
 
 def bounded_queue(trace: DataFrame, size: int, policy: str = "drop_new", key: str = "cam_id", order: str = "seq", action: str = "action", item: str = "frame_id") -> DataFrame:
@@ -89,25 +98,22 @@ def bounded_queue(trace: DataFrame, size: int, policy: str = "drop_new", key: st
     """
     room, kind = max(1, size), trace.schema[key].dataType.simpleString()
 
-    def replay(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        queue, out = [], []
-        rows = rows.sort_values(order, kind="stable")
-        for seq, act, x in zip(rows[order], rows[action], rows[item]):
+    def replay(k, queue: list, rows: pd.DataFrame) -> list[tuple]:
+        out: list[tuple] = []
+        for seq, act, x in zip(rows[order].tolist(), rows[action].tolist(), rows[item].tolist()):
             if act == "get":
-                out.append((keys[0], seq, "out" if queue else "idle", queue.pop(0) if queue else None))
-            elif len(queue) < room:
-                queue.append(x)
-                out.append((keys[0], seq, "in", x))
-            elif policy == "drop_old":
-                out += [(keys[0], seq, "drop", queue.pop(0)), (keys[0], seq, "in", x)]
-                queue.append(x)
-            else:
-                out.append((keys[0], seq, "drop", x))
-        result = pd.DataFrame(out, columns=[key, order, "outcome", "frame_id"])
-        result["frame_id"] = result["frame_id"].astype("Int64")
-        return result
-
-    return trace.groupBy(key).applyInPandas(replay, f"{key} {kind}, {order} long, outcome string, frame_id long")
+                out.append((k, seq, "out" if queue else "idle", queue.pop(0) if queue else None))
+                continue
+            if len(queue) >= room and policy != "drop_old":
+                out.append((k, seq, "drop", x))
+                continue
+            if len(queue) >= room:
+                out.append((k, seq, "drop", queue.pop(0)))
+            out.append((k, seq, "in", x))
+            queue.append(x)
+        return out
+
+    return fold_by_key(trace, key, [order], f"{key} {kind}, {order} long, outcome string, frame_id long", list, replay)
 
 
 def to_bgr(raw: bytes, width: int, height: int, stride: int, fmt: str) -> np.ndarray:
