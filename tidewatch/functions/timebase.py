@@ -76,6 +76,11 @@ def mapped_pts(pts: Column, document: Column) -> Column:
     return F.coalesce(pts_to_epoch_ms(pts, tb["base_epoch_ms"], tb["base_pts"], tb["units"]), pts.cast("double"))
 
 
+def now_ms() -> Column:
+    """The wall clock in epoch milliseconds, one value for a whole query."""
+    return F.unix_micros(F.current_timestamp()) / 1000.0
+
+
 def truncated(x: Column) -> Column:
     """To a whole number, towards zero."""
     return x.cast("long")

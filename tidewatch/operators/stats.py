@@ -38,6 +38,11 @@ def counters(reads: DataFrame, key: str = "cam_id", enqueued: str = "enqueued",
     return reads.groupBy(key).agg(F.count_if(enqueued).alias("frames_in"), F.count_if(emitted).alias("frames_out"), F.count_if(dropped).alias("drops"))
 
 
+def observed(frames: DataFrame, name: str, now: Column, t: str = "pts_ms") -> DataFrame:
+    """``frames`` that report, under ``name``, their number and the freshest frame's age to listeners; batch or stream."""
+    return frames.observe(name, F.count(F.lit(1)).alias("frames"), F.min(frame_age(now, F.col(t))).alias("last_frame_age_ms"))
+
+
 def frames_per_second(frames: DataFrame, seconds: Column, key: str = "cam_id") -> DataFrame:
     """Frames over the span asked for; a span below one second counts as one."""
     return frames.groupBy(key).agg((F.count("*") / F.greatest(F.max(seconds), F.lit(1))).alias("fps"))
