@@ -76,6 +76,22 @@ def test_a_file_written_by_hand():
     assert decode(bits(*head, *green, *others, (1, 1), (0, 1))).tolist() == [[[7, 200, 7, 255], [7, 1, 7, 255]]]
 
 
+def test_a_colour_that_was_never_cached_is_transparent_black():
+    """Two by one pixels with a cache of two colours: green 1, or the second, empty, place of the cache."""
+    head = [(0x2F, 8), (1, 14), (0, 14), (0, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)]
+    cached = (0xFF070107 * webp.CACHE_MULTIPLIER & 0xFFFFFFFF) >> 31
+    empty = 280 + (1 - cached)
+    # code lengths: symbols 1 and ``empty`` have length 1, all others 0, written with runs of zeros
+    order, own = webp.CODE_LENGTH_ORDER, {18: 1, 0: 2, 1: 2}
+    code = {18: (0, 1), 0: (0b01, 2), 1: (0b11, 2)}
+    run = lambda n: [code[18], (n - 11, 7)]
+    rest = 282 - empty - 1
+    last = max(i for i, s in enumerate(order) if s in own)
+    green = [(0, 1), (last + 1 - 4, 4), *[(own.get(s, 0), 3) for s in order[: last + 1]], (0, 1), code[0], code[1], *run(138), *run(100), *run(empty - 2 - 238), code[1], *[code[0]] * rest]
+    others = [(1, 1), (0, 1), (1, 1), (7, 8)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)] + [(1, 1), (0, 1), (0, 1), (0, 1)]
+    assert decode(bits(*head, *green, *others, (0, 1), (1, 1))).tolist() == [[[7, 1, 7, 255], [0, 0, 0, 0]]]
+
+
 def test_two_dimensional_distances_are_in_the_order_of_the_format():
     near = webp.near_offsets()
     assert len(near) == 120

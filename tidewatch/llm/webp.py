@@ -29,6 +29,10 @@ class WebpError(ValueError):
     """The bytes are not a lossless WebP image."""
 
 
+class _NotCached(Exception):
+    """A place of the colour cache was used before a colour was put there."""
+
+
 @lru_cache(maxsize=1)
 def near_offsets() -> tuple[tuple[int, int], ...]:
     """The 120 two-dimensional distances: the half plane above and left of a pixel by its distance from it."""
@@ -214,7 +218,11 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool = False) -> np.
     green = 256 + LENGTHS + (1 << cache if cache else 0)
     codes = [[_read_code(bits, n) for n in (green, 256, 256, 256, DISTANCES)] for _ in range(groups)]
     if tiles is None and all(c.only is not None for c in codes[0][1:4]):
-        return _read_single(bits, width, width * height, codes[0], cache)
+        start = bits.at
+        try:
+            return _read_single(bits, width, width * height, codes[0], cache)
+        except _NotCached:  # rare but allowed: all channels are 0 then, so green does not tell the pixel
+            bits.at = start
     return _read_pixels(bits, width, width * height, codes, tile, tiles, cache)
 
 
@@ -255,8 +263,7 @@ def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
     table, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, codes[4]
     near, out = _near_distances(width), bytearray()
     append = out.append
-    # a colour that is not cached yet is 0 in all channels; it is no grey of ours unless the constant is 0 too
-    cache, slots = [0 if constant == 0 else None] * (1 << cache_bits), None
+    cache, slots = [0 if constant == 0 else -1] * (1 << cache_bits), None
     if cache_bits:
         colours = np.arange(256, dtype=np.uint32) << np.uint32(8) | np.uint32(constant)
         slots = ((colours * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).tolist()
@@ -270,6 +277,8 @@ def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
                 p += e & 15
                 e >>= 4
                 if e >= 280:
+                    if cache[e - 280] < 0:
+                        raise _NotCached
                     append(cache[e - 280])
                 elif e < 256:
                     append(e)
@@ -556,7 +565,8 @@ def decode(data: bytes, grey: bool = False) -> np.ndarray:
                 index = index.reshape(height, -1)[:, :own]
             colours = np.concatenate([extra, np.zeros((256 - len(extra), 4), np.uint8)])
             image = colours[:, 1][index][..., None] if grey and len(undo) == 1 else colours[index]
-    assert image.shape[1] == full
+    if image.shape[1] != full:
+        raise WebpError("transforms that do not fit together")
     return np.ascontiguousarray(image[..., min(1, image.shape[2] - 1)]) if grey else image[..., [2, 1, 0, 3]]
 
 
