@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import webp
-from .common import table, written
+from .common import passed_on, table, written
 from .textblocks import utf8
 
 UNIT = 64
@@ -67,7 +67,7 @@ def features(grey: np.ndarray) -> str:
 
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media", size: str = "n_bytes", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or just its columns ``keep``) with each whole text as a media file and its bytes counted. Null: empty."""
-    place, kept = docs.columns.index(text), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    place, kept = docs.columns.index(text), passed_on(docs, keep, size, media)
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(size, T.LongType()), T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +96,10 @@ def decode_media(rows: DataFrame, media: str = "media", grey: bool = False, keep
 
     pixels: RGBA bytes row by row, or with ``grey`` one sample (green) a pixel. A null file gives nulls;
     one that is no lossless WebP image gives nulls and the reason in ``error``; no row stops the others.
-    Equal files give equal rows. The new names must not be among the columns that are kept.
+    Equal files give equal rows. Columns of the new names are replaced.
     """
-    place, kept = rows.columns.index(media), [rows.columns.index(c) for c in (rows.columns if keep is None else keep)]
     new = [("width", T.IntegerType()), ("height", T.IntegerType()), ("pixels", T.BinaryType()), ("feature", T.StringType()), ("error", T.StringType())]
+    place, kept = rows.columns.index(media), passed_on(rows, keep, *[n for n, _ in new])
     schema = T.StructType([*(rows.schema.fields[i] for i in kept), *(T.StructField(*x) for x in new)])
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
 
