@@ -139,6 +139,16 @@ def test_large_payload_has_wider_rows():
     assert width > media.ROW
 
 
+def test_payload_beyond_the_largest_image_takes_several(monkeypatch):
+    monkeypatch.setattr(webp, "MAX_SIDE", 64)
+    monkeypatch.setattr(media, "ROW", 32)
+    data = media.payload(np.random.default_rng(1).integers(0, 9, 10_000, dtype=np.uint8).tobytes())
+    files = media.files_in(media.stored(data))
+    assert len(files) == 3
+    assert b"".join(decode(f, grey=True).tobytes() for f in files)[: len(data)] == data
+    assert media.files_in(b"junk") == [b"junk"]
+
+
 def test_operator_on_odd_rows(spark, odd, odd_rows, empty):
     stored = media.store_texts(odd, keep=["doc_id", "score"])
     found = media.decode_media(stored, grey=True).collect()

@@ -39,13 +39,16 @@ def payload(text: bytes) -> bytes:
 
 
 def stored(data: bytes) -> bytes:
-    """A payload as grey pixels, row by row; the last row is filled with zeros."""
-    n = len(data)
+    """A payload as grey pixels, row by row; the last row is filled with zeros.
+
+    What is longer than the largest image of the format (256 MiB) goes on in further files behind the first.
+    """
+    n, most = len(data), webp.MAX_SIDE**2
+    if n > most:
+        return b"".join(stored(data[i : i + most]) for i in range(0, n, most))
     width = min(n, ROW)
     if n > ROW * webp.MAX_SIDE:
         width = min(webp.MAX_SIDE, -(-n // (webp.MAX_SIDE * UNIT)) * UNIT)
-    if n > width * webp.MAX_SIDE:
-        raise webp.WebpError("a payload of over 256 MiB has no single image")
     height = -(-n // width)
     grey = np.zeros(width * height, dtype=np.uint8)
     grey[:n] = np.frombuffer(data, np.uint8)
@@ -54,6 +57,16 @@ def stored(data: bytes) -> bytes:
     return webp.encode(pixels, PROFILES[zlib.crc32(data) % len(PROFILES)])
 
 
+def files_in(data: bytes) -> list[bytes]:
+    """The files of a media value, by the sizes that their headers tell; what has no such header is one file."""
+    out, at = [], 0
+    while at + 12 <= len(data) and data[at : at + 4] == b"RIFF":
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        out.append(data[at : at + size])
+        at += size
+    return out or [data]
+
+
 def features(grey: np.ndarray) -> str:
     """Integers only, so that equal pixels give equal strings: size, sum, gradients, histogram of 8, mean hash."""
     height, width = grey.shape
@@ -94,7 +107,8 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def decode_media(rows: DataFrame, media: str = "media", grey: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``rows`` (or just its columns ``keep``) with width, height, pixels, feature and error of each media file.
 
-    pixels: RGBA bytes row by row, or with ``grey`` one sample (green) a pixel. A null file gives nulls;
+    pixels: RGBA bytes row by row, or with ``grey`` one sample (green) a pixel; of several files one after the
+    other, while the other columns tell of the first. A null file gives nulls;
     one that is no lossless WebP image gives nulls and the reason in ``error``; no row stops the others.
     Equal files give equal rows. Columns of the new names are replaced.
     """
@@ -107,13 +121,13 @@ def decode_media(rows: DataFrame, media: str = "media", grey: bool = False, keep
         if data is None:
             return (None,) * 5
         try:
-            image = webp.decode(data, grey)
+            image, *more = (webp.decode(x, grey) for x in files_in(data))
         except webp.WebpError as e:
             return None, None, None, None, str(e)
         except (IndexError, ValueError) as e:
             return None, None, None, None, f"damaged data: {e}"
         sample = image if grey else np.ascontiguousarray(image[..., 1])
-        return image.shape[1], image.shape[0], image.tobytes(), features(sample), None
+        return image.shape[1], image.shape[0], b"".join(x.tobytes() for x in (image, *more)), features(sample), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
