@@ -12,7 +12,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in ``spark.checkpoint.dir``; in local mode, where that may be unset, in a temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", place)
