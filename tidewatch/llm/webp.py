@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -97,7 +98,7 @@ class Code:
         self.entries = np.repeat(used << 4 | size, span)[_reversal(self.bits)]
         self.table = self.entries.tolist()
 
-    def pairs(self, literals: int = 256) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+    def pairs(self, literals: int = 256) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """(bits, lengths, symbols, how many): a table over the next ``bits`` bits that takes two literals at
         once where both fit. Length 0 marks what is no literal."""
         bits = min(13, max(self.bits, 11))
@@ -113,7 +114,7 @@ class Code:
         length[one >> 4 >= literals] = 0
         symbols = np.empty((1 << bits, 2), dtype=np.uint8)
         symbols[:, 0], symbols[:, 1] = one >> 4, two >> 4
-        return bits, length.tolist(), symbols, double
+        return bits, length.astype(np.uint8), symbols, double
 
 
 _AHEAD = 800
@@ -302,46 +303,51 @@ def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
 
 
 def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.ndarray:
-    """Without a cache: literals go two at a time through a wider table, and are laid out by numpy."""
-    wide, lengths, symbols, double = codes[0].pairs()
-    table, short, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, (1 << wide) - 1, codes[4]
-    near, out, have = _near_distances(width), bytearray(), 0
-
-    def laid(found: list[int]) -> bytes:
-        index = np.array(found, dtype=np.int64)
-        both = np.ones((len(index), 2), dtype=bool)
-        both[:, 1] = double[index]
-        return symbols[index][both].tobytes()
+    """Without a cache: literals go two at a time through a wider table.
 
+    Numpy looks up the table at every bit; the loop only hops from bit to bit, and numpy lays out what stands
+    where it has been.
+    """
+    wide, lengths, symbols, double = codes[0].pairs()
+    table, short, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, np.uint32((1 << wide) - 1), codes[4]
+    near, out, each = _near_distances(width), bytearray(), np.arange(8, dtype=np.uint32)
     while len(out) < total:
-        window, first = _windows(bits, bits.at, False)
+        first = bits.at >> 3
+        n = min(_CHUNK, len(bits.data) - 8 - first)
+        if n <= 8 or bits.at > bits.end + wide:
+            raise WebpError("the data end too early")
+        raw = np.ndarray((n, 1), "<u4", bits.data, first, (1, 4))
+        index = (raw >> each & mask).astype(np.uint16).ravel()  # the table's place at every bit
+        hop = lengths[index].tobytes()
         base = first * 8
-        p, last = bits.at - base, len(window) * 8 - 64
+        p, last = bits.at - base, n * 8 - 64
         while (steps := min(-(-(total - len(out)) // 2), (last - p) // wide)) > 0:
-            found: list[int] = []
-            append, back = found.append, -1
+            found = array("I")
+            append, back = found.append, False
             for _ in range(steps):
-                i = window[p >> 3] >> (p & 7) & mask
-                n = lengths[i]
-                if n:
-                    p += n
-                    append(i)
+                k = hop[p]
+                if k:
+                    append(p)
+                    p += k
                 else:
-                    back = i
+                    back = True
                     break
-            out += laid(found)
-            if back >= 0 and len(out) < total:
-                e = table[back & short]
+            at = index[np.frombuffer(found, np.uint32)]
+            both = np.ones((len(at), 2), dtype=bool)
+            both[:, 1] = double[at]
+            out += symbols[at][both].tobytes()
+            if back and len(out) < total:
+                e = table[int(index[p]) & short]
                 bits.at = base + p + (e & 15)
                 length = _value(bits, (e >> 4) - 256)
                 code = _value(bits, bits.symbol(distances))
                 _copy(out, code - 120 if code > 120 else near[code - 1], length)
                 p = bits.at - base
-            elif back >= 0:
+            elif back:
                 break
         bits.at = base + p
-        if bits.at > bits.end + wide and len(out) < total:
-            raise WebpError("the data end too early")
+    if bits.at > bits.end + wide:  # the last pair may reach beyond the last pixel
+        raise WebpError("the data end too early")
     return np.frombuffer(bytes(out[:total]), np.uint8)
 
 
