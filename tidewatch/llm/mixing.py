@@ -33,7 +33,7 @@ BUCKET_ROWS = 2000
 MAX_SOURCES = 1_000_000
 
 PLAN = (
-    "plan_source string, source_size long, target double, whole int, rest long, bits int, "
+    "source_id int, plan_source string, source_size long, target double, whole int, rest long, bits int, "
     "segments array<struct<u0:double,u1:double,t0:double,t1:double,w0:double,w1:double>>"
 )
 
@@ -85,7 +85,7 @@ def plan(spark: SparkSession, sized: DataFrame, source: str, size: str, share: f
         whole = min(int(goal // r["words"]), int(limit)) if r["words"] else 0
         curve = Demand.of(SCHEDULES[i % len(SCHEDULES)])
         bits = max(0, math.ceil(math.log2(max(1, r["rows"] / BUCKET_ROWS))))
-        rows.append((r["source"], r["words"], goal, whole, round(goal - whole * r["words"]), bits, list(curve.segments)))
+        rows.append((i, r["source"], r["words"], goal, whole, round(goal - whole * r["words"]), bits, list(curve.segments)))
     return spark.createDataFrame(rows, PLAN)
 
 
@@ -113,12 +113,13 @@ def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str
     # the top bits of the order choose the bucket, so buckets are runs of the order
     rows = rows.withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(order, 64 - bits)")).otherwise(F.lit(0).cast("long")))
     rows = rows.withColumn("words", F.col(size) * F.col("copies"))
-    totals = rows.groupBy("plan_source", "bucket").agg(F.sum("words").alias("in_bucket"))
-    earlier = Window.partitionBy("plan_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("plan_source").alias("base_source"), F.col("bucket").alias("base_bucket"), F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("plan_source", "bucket").orderBy("order", key, size, *more).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("source_id", "bucket").agg(F.sum("words").alias("in_bucket"))
+    earlier = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("source_id", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source_id", "bucket").orderBy("order", key, size, *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-    placed = placed.join(bases, F.col("plan_source").eqNullSafe(F.col("base_source")) & (F.col("bucket") == F.col("base_bucket")))
+    # bases grow with the documents, so they are never broadcast; the windows' partitioning serves the join too
+    placed = placed.join(bases.hint("merge"), ["source_id", "bucket"])
     return placed.select(key, source, size, *more, "copies", (F.col("base") + F.col("ahead")).alias("before"), "source_size", "target", "whole", "rest", "segments")
 
 
