@@ -42,10 +42,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-#: Rows that a task of a small intermediate table reads, and a file of it holds, about.
+#: Short rows that a task reads, and a file of a table of such rows holds, about.
 ROWS_A_TASK = 50_000
 
 
+def tasks_for(rows: int) -> int:
+    """No more tasks and files than so many short rows need; a large table keeps all partitions that it has."""
+    return rows // ROWS_A_TASK + 1
+
+
 def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """``df`` cut from its lineage: written once as a table in the shared folder, and read from there.
 
@@ -53,7 +58,7 @@ def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     if rows is not None:
-        df = df.coalesce(rows // ROWS_A_TASK + 1)
+        df = df.coalesce(tasks_for(rows))
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)

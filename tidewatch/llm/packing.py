@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, word_counts, written
+from .common import table, tasks_for, word_counts, written
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -146,21 +146,19 @@ def placed(sized: DataFrame, key: str = "doc_id", size: str = "size", capacities
     cut = F.when(F.col(size) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.expr(f"({size} - 1) div {top}")))
     pieces = rows.select(key, size, "copies", F.explode(cut).alias("piece"))
     pieces = pieces.withColumn("length", F.least(F.lit(top), F.col(size) - F.col("piece") * top))
-    histogram = {r["length"]: r["n"] for r in pieces.where("length > 0").groupBy("length").agg(F.sum("copies").alias("n")).collect()}  # at most ``top`` rows
-    plan = optimise(histogram, capacities)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.sum("copies").alias("n")).collect()}  # at most ``top`` + 1 rows
+    plan = optimise({n: c for n, c in histogram.items() if n}, capacities)
     bits = [(n, max(0, math.ceil(math.log2(c / BUCKET_ROWS)))) for n, c in histogram.items()]
-    pieces = pieces.join(spark.createDataFrame(bits, "length long, bits int"), "length", "left")
+    pieces = pieces.join(spark.createDataFrame(bits, "length long, bits int"), "length")
     order = F.xxhash64(key, "piece", F.lit("packing"))
     pieces = pieces.withColumn("order", order).withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(order, 64 - bits)")).otherwise(F.lit(0).cast("long")))
-    small = pieces.where("length > 0")
-    totals = small.groupBy("length", "bucket").agg(F.sum("copies").alias("n"))
+    totals = pieces.groupBy("length", "bucket").agg(F.sum("copies").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("order", key, "piece", size).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = small.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(bases, ["length", "bucket"])
+    ranked = pieces.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(bases.hint("merge"), ["length", "bucket"])
     ranked = ranked.select(key, "piece", "length", F.explode(F.sequence(F.col("base") + F.col("ahead"), F.col("base") + F.col("ahead") + F.col("copies") - 1)).alias("rank"))
-    none = pieces.where("length = 0").select(key, "piece", "length", F.explode(F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))).alias("rank"))
-    return _looked_up(ranked.unionByName(none), plan, key, top)
+    return _looked_up(ranked.coalesce(tasks_for(sum(histogram.values()))), plan, key, top)
 
 
 def _looked_up(ranked: DataFrame, plan: Packing, key: str, top: int) -> DataFrame:
