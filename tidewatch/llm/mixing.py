@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import matched, table, unused, word_counts, written
+from .common import matched, table, tasks_for, unused, word_counts, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: (time, factor) knots for each of the repeating weights: heavy sources early, light ones late.
@@ -149,7 +149,7 @@ def mixture(sized: DataFrame, key: str = "doc_id", source: str = "source", size:
     out = copies.select(F.col(key), F.col(size).alias("size"), "source_size", "target", taken.alias("taken"), first_position(size, before, taken).alias("position"))
     # documents that are not taken stand behind all others, spread by hash so that no range holds them all
     late = 2 + F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return out.withColumn("at", F.coalesce("position", late)).orderBy("at", key).drop("at")
+    return out.withColumn("at", F.coalesce("position", late)).orderBy("at", key).drop("at").coalesce(tasks_for(sized.count()))
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
