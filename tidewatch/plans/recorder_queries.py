@@ -97,9 +97,9 @@ def clip_status_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_poll_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each camera's events as a log of polls."""
+    """Each camera's events as a log of polls, every event one poll."""
     said = F.when(F.col("wind_state") == "purchase", "done").when(F.col("wind_state") == "", "error").otherwise("pending")
-    polls = frames(spark, sf_dir, True).where("frame_id % 3 = 0").select(F.col("cam_id").alias("job_id"), F.col("frame_id").alias("seq"), said.alias("status"))
+    polls = frames(spark, sf_dir, True).select(F.col("cam_id").alias("job_id"), F.col("frame_id").alias("seq"), said.alias("status"))
     return recorder.first_terminal(polls)
 
 
