@@ -24,3 +24,23 @@ def test_every_event_is_a_poll(spark, tmp_path):
         expected[job] = (*(ends[0] if ends else (None, None)), len(said))
     assert found == expected
     assert found[1] == ("error", 2, 4)
+
+
+def test_every_window_meets_the_segments_of_its_own_camera(spark, tmp_path):
+    rows, n = [], 0
+    for cam in (3, 10, 11, 20):
+        for day in range(1, 9):
+            for hour in (1, 2, 9 + cam % 4, 20):
+                n += 1
+                rows.append((cam, n, datetime(2024, 1, day, hour), "view", 90.0 if (day * cam + hour) % 5 < 3 else 1.0))
+    folder = event_table(spark, tmp_path, rows)
+    parts = [(r["cam_id"], r["start_ms"], r["end_ms"]) for r in recorder_queries.segment_parse(spark, folder).collect()]
+    windows = {(r["cam_id"], r["clip_start_ms"], r["clip_stop_ms"]): 0 for r in recorder_queries.clip_windows(spark, folder).collect()}
+    expected = set()
+    for cam, start, stop in windows:
+        met = [(a, b) for c, a, b in parts if c == cam and a < stop and b > start]
+        if met:
+            expected.add((cam, start, stop, len(met), min(a for a, _ in met), max(b for _, b in met)))
+    found = [tuple(r) for r in recorder_queries.segment_overlap(spark, folder).collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    assert {r[0] for r in found} == {3, 10, 11, 20}

@@ -59,8 +59,8 @@ def classify_events(events: DataFrame, segments: DataFrame, start: str = "start_
     return joined.withColumn("classification", relation)
 
 
-def overlapping_segments(windows: DataFrame, segments: DataFrame, start: str = "clip_start_ms", stop: str = "clip_stop_ms", bucket_ms: float = 86_400_000.0) -> DataFrame:
-    """Extension: window and segment pairs that overlap (open bounds).
+def overlapping_segments(windows: DataFrame, segments: DataFrame, start: str = "clip_start_ms", stop: str = "clip_stop_ms", bucket_ms: float = 86_400_000.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Extension: window and segment pairs that overlap (open bounds) and agree on ``keys``, columns of both.
 
     A range join by time buckets: both sides go to each bucket that they meet, join on it, and a pair counts
     in the first bucket that both meet.
@@ -68,6 +68,6 @@ def overlapping_segments(windows: DataFrame, segments: DataFrame, start: str = "
     floor = lambda c: F.floor(F.col(c) / bucket_ms)
     w = windows.withColumn("_first", floor(start)).withColumn("_bucket", F.explode(F.sequence(floor(start), floor(stop))))
     s = segments.withColumn("_seg_first", floor("start_ms")).withColumn("_bucket", F.explode(F.sequence(floor("start_ms"), floor("end_ms"))))
-    s = s.select("_bucket", "_seg_first", F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"), F.col("path").alias("seg_path"))
-    both = w.join(s, "_bucket").where((F.col("seg_start_ms") < F.col(stop)) & (F.col("seg_end_ms") > F.col(start)) & (F.col("_bucket") == F.greatest("_first", "_seg_first")))
+    s = s.select("_bucket", *keys, "_seg_first", F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"), F.col("path").alias("seg_path"))
+    both = w.join(s, ["_bucket", *keys]).where((F.col("seg_start_ms") < F.col(stop)) & (F.col("seg_end_ms") > F.col(start)) & (F.col("_bucket") == F.greatest("_first", "_seg_first")))
     return both.drop("_bucket", "_first", "_seg_first")

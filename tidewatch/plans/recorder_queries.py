@@ -124,8 +124,7 @@ def event_vs_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: clip windows and the segments of the same camera that they overlap, counted."""
     windows = clip_windows(spark, sf_dir)
-    parts = segment_parse(spark, sf_dir).drop("cam_id")
-    pairs = segments.overlapping_segments(windows.where("cam_id % 10 = 0"), parts)
+    pairs = segments.overlapping_segments(windows, segment_parse(spark, sf_dir), keys=("cam_id",))
     return pairs.groupBy("cam_id", "clip_start_ms", "clip_stop_ms").agg(F.count("*").alias("n_segments"), F.min("seg_start_ms").alias("first_ms"), F.max("seg_end_ms").alias("last_ms"))
 
 
