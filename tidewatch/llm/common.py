@@ -98,8 +98,9 @@ def crc_mod(column: str, n: int):
 
 
 def share_below(limit: float, *columns):
-    """True for about ``limit`` (0 to 1) of the rows, always the same ones."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 24)) < F.lit(int(limit * (1 << 24)))
+    """True for about ``limit`` (0 to 1, a number or a column) of the rows, always the same ones."""
+    most = F.lit(int(limit * (1 << 24))) if isinstance(limit, (int, float)) else (limit * (1 << 24)).cast("long")
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 24)) < most
 
 
 def word_counts(docs: DataFrame, text: str = "text", name: str = "size", keep: list[str] | None = None) -> DataFrame:

@@ -1,14 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Character 1- to 3-grams (letters lower-cased, anything else a space) hash to ``2**bits`` columns. Training
-adds up, inside the executors, a (language x column) count matrix; the log-probability matrix has a fixed
-size, is broadcast, and each block of documents is scored as a sparse product in numpy: its n-gram columns
-pick rows of the matrix, which are summed document by document.
+adds up, inside the executors, a (language x column) count matrix; the log-probability matrix is kept sparse
+and broadcast, and each block of documents is scored as a sparse product in numpy: its n-gram columns pick
+rows of the matrix, which are summed document by document, for a few languages at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,17 +23,30 @@ from .textblocks import blocks, sums
 
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Languages that are counted or scored at a time, and that a task holds counts of.
+AT_ONCE, HELD = 16, 64
 
 
 @dataclass(frozen=True)
 class LangModel:
     languages: tuple[str, ...]
-    #: (2**bits + 1, languages); the last row is zero and stands for n-grams without a letter.
-    log_prob: np.ndarray
+    #: For each run of ``AT_ONCE`` languages: the places in its (2**bits, languages) matrix that were met in training, and their values.
+    place: tuple[np.ndarray, ...]
+    value: tuple[np.ndarray, ...]
+    #: Of a column that a language was never met in.
+    unmet: np.ndarray
     log_prior: np.ndarray
     bits: int
     temper: int = 60
 
+    def log_prob(self, k: int) -> np.ndarray:
+        """(2**bits + 1, languages) of the k-th run; the last row is zero and stands for n-grams without a letter."""
+        unmet = self.unmet[k * AT_ONCE : (k + 1) * AT_ONCE]
+        out = np.empty(((1 << self.bits) + 1, len(unmet)), dtype=np.float32)
+        out[:-1], out[-1] = unmet, 0
+        out.reshape(-1)[self.place[k]] = self.value[k]
+        return out
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -79,19 +92,32 @@ def _counting(languages: list[str], bits: int):
     index = {x: i for i, x in enumerate(languages)}
     width = 1 << bits
 
+    def cells(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        full = [(i, np.flatnonzero(n[:width])) for i, n in held.items()]
+        cell = np.concatenate([np.zeros(0, np.int64), *(i * width + c for i, c in full)])
+        n = np.concatenate([np.zeros(0, np.int64), *(held[i][c] for i, c in full)])
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * (width + 1), dtype=np.int64)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for i, j, flat, at in blocks(batch.column(0)):
                 if not len(flat):
                     continue
+                met, local = np.unique(lang[i:j], return_inverse=True)
                 for column, where in _columns(flat, at, bits):
-                    base = np.repeat(lang[i:j] * (width + 1), np.diff(where))
-                    total += np.bincount(base + column, minlength=len(total))
-        full = np.flatnonzero(total)
-        full = full[full % (width + 1) < width]
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
+                    which = np.repeat(local, np.diff(where))
+                    for first in range(0, len(met), AT_ONCE):
+                        some = met[first : first + AT_ONCE]
+                        here = slice(None) if len(met) <= AT_ONCE else (which >= first) & (which < first + AT_ONCE)
+                        n = np.bincount((which[here] - first) * (width + 1) + column[here], minlength=len(some) * (width + 1))
+                        for x, row in zip(some.tolist(), n.reshape(len(some), width + 1)):
+                            held[x] = held[x] + row if x in held else row.copy()
+                        if len(held) > HELD:
+                            yield cells(held)
+                            held = {}
+        yield cells(held)
 
     return count
 
@@ -103,51 +129,67 @@ def train(
     key: str = "doc_id",
     bits: int = 16,
     rows_per_language: int = 4000,
-    max_languages: int = 64,
     smoothing: float = 0.5,
 ) -> LangModel:
-    """Learns from rows whose language and text are not null.
+    """Learns every language from rows whose language and text are not null.
 
     Bounds: about ``rows_per_language`` rows of each language (picked by a hash of the key, so that reruns
-    agree), the ``max_languages`` most frequent languages, and a matrix of 2**bits columns. No labelled
-    rows: a model without languages, which answers ``und`` for all.
+    agree) and 2**bits columns. The model grows with the languages, by the columns that each is met in. No
+    labelled rows: a model without languages, which answers ``und`` for all.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    found = known.groupBy(F.col(lang).alias("l")).count().collect()
     found.sort(key=lambda r: r["l"])
     languages = [r["l"] for r in found]
     width = 1 << bits
     if not languages:
-        return LangModel((), np.zeros((width + 1, 0), np.float32), np.zeros(0), bits)
-    picked = F.lit(False)
-    for r in found:
-        picked = picked | ((F.col(lang) == F.lit(r["l"])) & share_below(min(1.0, rows_per_language / r["count"]), F.col(key), F.lit("langid")))
-    rows = known.where(picked).select(F.col(text), F.col(lang))
-    cells = rows.mapInArrow(_counting(languages, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(languages) * (width + 1))
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    counts = counts.reshape(len(languages), width + 1)[:, :width] + smoothing
-    log_prob = np.zeros((width + 1, len(languages)), dtype=np.float32)
-    log_prob[:width] = np.log(counts / counts.sum(1, keepdims=True)).T
+        return LangModel((), (), (), np.zeros(0, np.float32), np.zeros(0), bits)
+    # Few languages have more rows than are picked; a join takes any number of them.
+    large = [(r["l"], min(1.0, rows_per_language / r["count"])) for r in found if r["count"] > rows_per_language]
+    rows = known.select(F.col(text), F.col(lang).alias("l"), F.col(key).alias("k"))
+    if large:
+        shares = spark.createDataFrame(large, "l string, share double")
+        rows = rows.join(F.broadcast(shares), "l", "left").where(F.col("share").isNull() | share_below(F.col("share"), F.col("k"), F.lit("langid")))
+    cells = rows.select(F.col(text), "l").mapInArrow(_counting(languages, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
+    language, column = cell // width, cell % width
+    total = np.bincount(language, n, minlength=len(languages)) + smoothing * width
+    value = np.log((n + smoothing) / total[language]).astype(np.float32)
+    unmet = np.log(smoothing / total).astype(np.float32)
+    order = np.argsort(cell)
+    runs = range(0, len(languages), AT_ONCE)
+    bounds = np.searchsorted(language[order], [*runs, len(languages)])
+    parts = [order[a:b] for a, b in zip(bounds, bounds[1:])]
+    place = tuple((column[p] * min(AT_ONCE, len(languages) - first) + language[p] - first).astype(np.int32 if bits < 26 else np.int64) for first, p in zip(runs, parts))
     size = np.array([r["count"] for r in found], dtype=float)
-    return LangModel(tuple(languages), log_prob, np.log(size / size.sum()), bits)
+    return LangModel(tuple(languages), place, tuple(value[p] for p in parts), unmet, np.log(size / size.sum()), bits)
 
 
-def score_block(model: LangModel, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the likeliest language or -1, tempered posterior of it) for each text of a block."""
+def score_block(model: LangModel, flat: np.ndarray, at: np.ndarray, matrix: Callable[[int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the likeliest language or -1, tempered posterior of it) for each text of a block.
+
+    matrix: gives ``model.log_prob`` of a run, if the caller keeps one.
+    """
     n = len(at) - 1
-    total, grams = np.zeros((n, len(model.languages))), np.zeros(n, dtype=np.int64)
     if not model.languages or not len(flat):
         return np.full(n, -1), np.zeros(n)
-    for column, where in _columns(flat, at, model.bits):
-        total += sums(model.log_prob[column], where)
+    orders, grams = list(_columns(flat, at, model.bits)), np.zeros(n, dtype=np.int64)
+    for column, where in orders:
         grams += sums(column < 1 << model.bits, where)
-    scaled = (total * np.minimum(1.0, model.temper / np.maximum(grams, 1))[:, None]) + model.log_prior
-    scaled = np.exp(scaled - scaled.max(1, keepdims=True))
-    best = scaled.argmax(1)
-    share = scaled[np.arange(n), best] / scaled.sum(1)
-    return np.where(grams > 0, best, -1), np.where(grams > 0, share, 0.0)
+    temper = np.minimum(1.0, model.temper / np.maximum(grams, 1))[:, None]
+    best, top, mass = np.zeros(n, dtype=np.int64), np.full(n, -np.inf), np.zeros(n)
+    for k, first in enumerate(range(0, len(model.languages), AT_ONCE)):
+        log_prob = (matrix or model.log_prob)(k)
+        total = np.zeros((n, log_prob.shape[1]))
+        for column, where in orders:
+            total += sums(log_prob[column], where)
+        scaled = total * temper + model.log_prior[first : first + AT_ONCE]
+        high = np.maximum(top, scaled.max(1))
+        mass = mass * np.exp(top - high) + np.exp(scaled - high[:, None]).sum(1)
+        best = np.where(high > top, first + scaled.argmax(1), best)
+        top = high
+    return np.where(grams > 0, best, -1), np.where(grams > 0, 1.0 / mass, 0.0)
 
 
 def identify(
@@ -161,7 +203,7 @@ def identify(
     columns of the same names as the new ones are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # (2**bits + 1) x languages float32, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # at most 2**bits x languages places and values, however many rows
     place, kept = docs.columns.index(text), passed_on(docs, keep, lang_col, score_col)
     fields = [docs.schema.fields[i] for i in kept]
     schema = T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
@@ -169,10 +211,11 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
+        matrix = lru_cache(maxsize=1)(model.log_prob)
         for batch in batches:
             best, score = [], []
             for _, _, flat, at in blocks(batch.column(place)):
-                b, s = score_block(model, flat, at)
+                b, s = score_block(model, flat, at, matrix)
                 best.append(b)
                 score.append(s)
             if best:
