@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidewatch.llm import langid
+from tidewatch.llm import langid, toxicity
 from tidewatch.llm.textblocks import utf8
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -51,3 +51,12 @@ def test_runs_of_languages_score_as_one_matrix(spark):
     assert best.tolist() == np.where(grams > 0, scaled.argmax(1), -1).tolist()
     np.testing.assert_allclose(score, np.where(grams > 0, 1 / share.sum(1), 0), rtol=1e-9)
     assert np.exp(whole[:-1]).sum(0).round(2).tolist() == [1.0] * 40
+
+
+def test_only_copies_of_one_label_are_left_out():
+    first = np.arange(40)
+    other = np.concatenate([first[:4], np.arange(100, 136)])  # the same smallest columns, little else
+    near = np.append(first[:-1], 99)
+    sets = [first, other, near, first.copy(), other.copy()]
+    assert toxicity.unlike(sets) == [0, 1]
+    assert toxicity.unlike(sets, [0, 0, 1, 1, 0]) == [0, 1, 2]

@@ -58,15 +58,26 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - f[:, None], -500, 500)))
 
 
-def unlike(sets: list[np.ndarray], least: int = 4) -> list[int]:
-    """Places of sets of which no earlier one is a copy or near copy: their ``least`` smallest columns differ.
+def unlike(sets: list[np.ndarray], labels: list[int] | None = None, least: int = 4, alike: float = 0.8) -> list[int]:
+    """Places of sets of which no earlier one of the same label is a copy or near copy: one with the same ``least``
+    smallest columns that shares ``alike`` of all columns of both.
 
     A group of copies would otherwise vouch, document by document, for every word in it.
     """
-    first: dict[bytes, int] = {}
+    kept: dict[tuple, list[int]] = {}
     for i, x in enumerate(sets):
-        first.setdefault(x[:least].tobytes(), i)
-    return sorted(first.values())
+        group = kept.setdefault((labels[i] if labels is not None else None, x[:least].tobytes()), [])
+        for j in group:
+            y = sets[j]
+            most = max(len(x), len(y))
+            if min(len(x), len(y)) < alike * most:
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= alike * (len(x) + len(y) - both):
+                break
+        else:
+            group.append(i)
+    return sorted(i for group in kept.values() for i in group)
 
 
 def telling_columns(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, width: int, chance: float = 3.0, share: float = 0.01, times: float = 3.0) -> np.ndarray:
@@ -135,7 +146,7 @@ def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.nda
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_class: int = 3000, bits: int = BITS) -> OrdinalModel:
     """Learns from labelled rows (labels 0 and 1; others and nulls are ignored); about ``rows_per_class`` of each,
-    picked by a hash of the key, each counting by the share of its class that was picked."""
+    picked by a hash of the key. The copies among them are left out; the others of a class share its whole weight."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label"))
     found = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked, rates = F.lit(False), {}
@@ -155,11 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     schema = T.StructType([sample.schema[key], T.StructField("label", T.IntegerType()), T.StructField("words", T.BinaryType())])
     got = sample.mapInArrow(encode, schema).toPandas().sort_values([key, "label", "words"])
     sets = [np.frombuffer(b, np.int32) for b in got["words"]]
-    own = unlike(sets)
+    own = unlike(sets, got["label"].tolist())
+    whole = got["label"].value_counts()
     sets, got = [sets[i] for i in own], got.iloc[own]
+    left = got["label"].value_counts()
     where = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
     toxic = got["label"].to_numpy(dtype=float)
-    return fit(np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int64), where, toxic, np.array([1 / rates[int(k)] for k in toxic]), bits)
+    return fit(np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int64), where, toxic, np.array([whole[int(k)] / rates[int(k)] / left[int(k)] for k in toxic]), bits)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
