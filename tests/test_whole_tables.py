@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from tidewatch.plans import recorder_queries
+import numpy as np
+import pytest
+
+from tidewatch.operators import stats
+from tidewatch.plans import reader_queries, recorder_queries
 
 
 def event_table(spark, folder, rows):
@@ -44,3 +48,24 @@ def test_every_window_meets_the_segments_of_its_own_camera(spark, tmp_path):
     found = [tuple(r) for r in recorder_queries.segment_overlap(spark, folder).collect()]
     assert len(found) == len(expected) and set(found) == expected
     assert {r[0] for r in found} == {3, 10, 11, 20}
+
+
+def rank(x):
+    return float(np.sort(x)[int(np.floor(0.95 * (len(x) - 1)))])
+
+
+@pytest.mark.parametrize("rows", [None, 20])
+def test_loop_windows_are_as_long_as_the_readers(spark, tmp_path, rows):
+    """None: the registered queries, whose windows are the operators' own 1000 and 512; 20: the short window."""
+    value = np.random.default_rng(3).uniform(0, 100, 1040).round(3)
+    folder = event_table(spark, tmp_path, [(1, i, datetime(2024, 1, 1) + timedelta(minutes=i), "view", float(v)) for i, v in enumerate(value)])
+    loops = reader_queries._loops(spark, folder)
+    for query, operator, window, p95 in (
+        (reader_queries.loop_stats_linear_p95, stats.loop_stats_linear, 1000, lambda x: float(np.quantile(x, 0.95))),
+        (reader_queries.loop_stats_rank_p95, stats.loop_stats_rank, 512, rank),
+    ):
+        found = {r["frame_id"]: r for r in (query(spark, folder) if rows is None else operator(loops, rows=rows)).collect()}
+        assert len(found) == len(value)
+        for i in range(len(value)):
+            last = np.minimum(1.0, value[max(0, i + 1 - (rows or window)) : i + 1] / 100) * 1000
+            assert (found[i]["loop_us_mean"], found[i]["loop_us_p95"]) == pytest.approx((last.mean(), p95(last)), abs=2e-6)

@@ -13,6 +13,7 @@ from ..sources.files import parse_producer_stats, read_sidecar
 from .adapter import FRAMES_SQL, frames
 from .motion_queries import BASE_MS
 
+#: The window of the SQL.
 ROWS = 20
 
 
@@ -25,11 +26,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def loop_stats_linear_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.loop_stats_linear(_loops(spark, sf_dir), rows=ROWS))
+    return _rounded(stats.loop_stats_linear(_loops(spark, sf_dir)))
 
 
 def loop_stats_rank_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.loop_stats_rank(_loops(spark, sf_dir), rows=ROWS))
+    return _rounded(stats.loop_stats_rank(_loops(spark, sf_dir)))
 
 
 def frame_age_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
