@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidewatch.llm import langid, toxicity
+from tidewatch.llm import langid, media, toxicity
 from tidewatch.llm.textblocks import utf8
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +53,26 @@ def test_runs_of_languages_score_as_one_matrix(spark):
     assert np.exp(whole[:-1]).sum(0).round(2).tolist() == [1.0] * 40
 
 
+def test_feature_covers_all_files_of_a_value(spark):
+    """Two values that differ only behind their first file."""
+    rng = np.random.default_rng(2)
+    a, b, c = (rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (1024, 1024, 512))
+    values = [[a, c], [a, b, c], [a], [a, b[:512]]]
+    rows = spark.createDataFrame([(i, b"".join(map(media.stored, v))) for i, v in enumerate(values)], "i int, media binary")
+    for grey in (True, False):
+        found = {r["i"]: r for r in media.decode_media(rows, grey=grey).collect()}
+        assert len({r["feature"] for r in found.values()}) == len(values)
+        for i, v in enumerate(values):
+            images = [np.frombuffer(x, np.uint8).reshape(-1, 512).astype(int) for x in v]
+            flat = np.concatenate([x.ravel() for x in images])
+            parts = np.array([x.sum() for x in np.split(flat, np.arange(1, 8) * len(flat) // 8)])
+            dx, dy = (sum(np.abs(np.diff(x, axis=k)).sum() for x in images) for k in (1, 0))
+            size = "+".join(f"512x{len(x)}" for x in images)
+            hist = ",".join(str(x) for x in np.bincount(flat >> 5, minlength=8))
+            cells = "".join("1" if 8 * x > parts.sum() else "0" for x in parts)
+            assert found[i]["feature"] == f"{size};sum={flat.sum()};dx={dx};dy={dy};hist={hist};cells={cells}"
+
+
 def test_only_copies_of_one_label_are_left_out():
     first = np.arange(40)
     other = np.concatenate([first[:4], np.arange(100, 136)])  # the same smallest columns, little else

@@ -67,15 +67,25 @@ def files_in(data: bytes) -> list[bytes]:
     return out or [data]
 
 
-def features(grey: np.ndarray) -> str:
-    """Integers only, so that equal pixels give equal strings: size, sum, gradients, histogram of 8, mean hash."""
-    height, width = grey.shape
-    wide = grey.astype(np.int32)
-    across, down = (int(np.abs(np.diff(wide, axis=k)).sum()) for k in (1, 0))
-    histogram = np.bincount((grey >> 5).ravel(), minlength=8).tolist()
-    cells = np.add.reduceat(wide.ravel(), np.arange(8) * wide.size // 8, dtype=np.int64) if wide.size >= 8 else np.zeros(8, np.int64)
+def features(*images: np.ndarray) -> str:
+    """Integers only, so that equal pixels give equal strings: sizes, sum, gradients, histogram of 8, mean hash; of all images of a value."""
+    total = across = down = at = 0
+    histogram, cells = np.zeros(8, np.int64), np.zeros(8, np.int64)
+    n = sum(x.size for x in images)
+    bounds = np.arange(9) * n // 8
+    for grey in images:
+        wide = grey.astype(np.int32)
+        total += int(wide.sum())
+        across, down = (d + int(np.abs(np.diff(wide, axis=k)).sum()) for d, k in ((across, 1), (down, 0)))
+        histogram += np.bincount((grey >> 5).ravel(), minlength=8)
+        if n >= 8:
+            ends = np.clip(bounds - at, 0, grey.size)
+            flat, some = wide.ravel(), np.flatnonzero(np.diff(ends))
+            cells[some] += np.add.reduceat(flat[: ends[-1]], ends[some], dtype=np.int64)
+        at += grey.size
     marks = "".join("1" if 8 * c > cells.sum() else "0" for c in cells.tolist())
-    return f"{width}x{height};sum={int(wide.sum())};dx={across};dy={down};hist={','.join(map(str, histogram))};cells={marks}"
+    size = "+".join(f"{x.shape[1]}x{x.shape[0]}" for x in images)
+    return f"{size};sum={total};dx={across};dy={down};hist={','.join(map(str, histogram.tolist()))};cells={marks}"
 
 
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media", size: str = "n_bytes", keep: list[str] | None = None) -> DataFrame:
@@ -108,7 +118,7 @@ def decode_media(rows: DataFrame, media: str = "media", grey: bool = False, keep
     """``rows`` (or just its columns ``keep``) with width, height, pixels, feature and error of each media file.
 
     pixels: RGBA bytes row by row, or with ``grey`` one sample (green) a pixel; of several files one after the
-    other, while the other columns tell of the first. A null file gives nulls;
+    other, while width and height tell of the first and feature of all. A null file gives nulls;
     one that is no lossless WebP image gives nulls and the reason in ``error``; no row stops the others.
     Equal files give equal rows. Columns of the new names are replaced.
     """
@@ -121,13 +131,13 @@ def decode_media(rows: DataFrame, media: str = "media", grey: bool = False, keep
         if data is None:
             return (None,) * 5
         try:
-            image, *more = (webp.decode(x, grey) for x in files_in(data))
+            images = [webp.decode(x, grey) for x in files_in(data)]
         except webp.WebpError as e:
             return None, None, None, None, str(e)
         except (IndexError, ValueError) as e:
             return None, None, None, None, f"damaged data: {e}"
-        sample = image if grey else np.ascontiguousarray(image[..., 1])
-        return image.shape[1], image.shape[0], b"".join(x.tobytes() for x in (image, *more)), features(sample), None
+        samples = images if grey else [np.ascontiguousarray(x[..., 1]) for x in images]
+        return images[0].shape[1], images[0].shape[0], b"".join(x.tobytes() for x in images), features(*samples), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
