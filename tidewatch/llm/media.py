@@ -21,10 +21,9 @@ from .textblocks import utf8
 
 UNIT = 64
 ROW = 512
-#: What a payload's checksum chooses from: mostly the profile that is quickest for text, and the others often
-#: enough that every part of the format carries rows of any table.
+#: What a payload's checksum chooses from, each alike often, so that every part of the format carries its share of rows.
 PROFILES = (
-    *[webp.Profile(subtract_green=True)] * 13,
+    webp.Profile(subtract_green=True),
     webp.Profile(palette=True),
     webp.Profile(subtract_green=True, cache_bits=8),
     webp.Profile(predictor_tile=6, cross=(9, 32, 32, 0)),
