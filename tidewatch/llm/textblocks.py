@@ -101,11 +101,54 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, wherever the word stands."""
-        n = len(self.flat)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE[self.flat] * powers(BASE, n), out=total[1:], dtype=np.uint64)
-        h = (total[self.end] - total[self.start]) * powers(INVERSE, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        return run_hashes(self.flat, self.start, self.end)
+
+    def ids(self) -> np.ndarray:
+        """A number for each word of the block: equal for equal words only."""
+        return run_ids(self.flat, self.start, self.end, self.hashes())
+
+
+def run_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
+    n = len(flat)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(BYTE[flat] * powers(BASE, n), out=total[1:], dtype=np.uint64)
+    h = (total[end] - total[start]) * powers(INVERSE, n + 1)[start]
+    return mix(h + (end - start).astype(np.uint64))
+
+
+#: By how many bytes of a 64-bit value count, the mask that keeps them.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def same_runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each ``start`` are those from its ``other``, by the bytes themselves."""
+    raw = flat.tobytes() + bytes(8)
+    eight = np.ndarray((len(flat) + 1,), "<u8", raw, 0, (1,))
+    out = np.ones(len(start), dtype=bool)
+    left = np.flatnonzero(size > 0)
+    for k in range(0, 64, 8):
+        if not len(left):
+            return out
+        keep = _KEEP[np.minimum(size[left] - k, 8)]
+        out[left] &= (eight[start[left] + k] ^ eight[other[left] + k]) & keep == 0
+        left = left[(size[left] > k + 8) & out[left]]
+    for i in left.tolist():  # long runs, of which a block holds few
+        a, b, n = int(start[i]), int(other[i]), int(size[i])
+        out[i] = raw[a : a + n] == raw[b : b + n]
+    return out
+
+
+def run_ids(flat: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each run of bytes, equal for equal runs only: by their hashes ``h``, then held against the bytes."""
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    model, size = first[ids], end - start
+    again = np.flatnonzero(model != np.arange(len(model)))
+    alike = size[again] == size[model[again]]
+    if alike.all() and same_runs(flat, start[again], size[again], start[model[again]]).all():
+        return ids
+    raw, known = flat.tobytes(), {}  # different bytes with one hash: count by the bytes
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())], dtype=np.int64)
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
