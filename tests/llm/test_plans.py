@@ -15,8 +15,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mixing, packing, textblocks, token_scan, url_rules, weak_rules
-from tidewatch.llm.common import fresh_path, written
+from tidewatch.llm.common import written
 from tidewatch.llm.textblocks import blocks, utf8
+from tidewatch.scratch import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -196,12 +197,12 @@ def test_odd_file_size_raises(spark, tmp_path):
 def test_tokens_of_odd_rows(spark, odd, odd_rows, empty):
     if not Path(token_scan.TOKENIZER).exists():
         pytest.skip("needs the vocabulary")
-    index = written(token_scan.write_token_files(odd, fresh_path(spark, "tokens")), "index")
+    index = written(token_scan.write_token_files(odd, scratch_path(spark, "tokens")), "index")
     lengths = token_scan.document_lengths(index.where("file_bytes is not null").select("file", "file_bytes"), block_bytes=64)
     found = Counter((r["doc_id"], r["n_tokens"]) for r in index.join(lengths, ["file", "ordinal"]).collect())
     encode = token_scan.encoder(Path(token_scan.TOKENIZER).read_bytes()).encode_ordinary
     assert found == Counter((r[0], len(encode(r[1] or ""))) for r in odd_rows)
-    assert token_scan.write_token_files(empty, fresh_path(spark, "tokens")).count() == 0
+    assert token_scan.write_token_files(empty, scratch_path(spark, "tokens")).count() == 0
 
 
 def test_token_query(spark, data):

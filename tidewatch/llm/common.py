@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import remove, scratch_path
 from .textblocks import Words, blocks
 
 #: The words of all contracts: runs of anything but ASCII white space.
@@ -23,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local mode, tests) is a
-    folder of our own made.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 #: Short rows that a task reads, and a file of a table of such rows holds, about.
 ROWS_A_TASK = 50_000
 
@@ -59,7 +39,7 @@ def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     if rows is not None:
         df = df.coalesce(tasks_for(rows))
-    path = fresh_path(spark, tag)
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._written_at = path
@@ -70,9 +50,7 @@ def drop_written(df: DataFrame) -> None:
     """Deletes a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_written_at", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

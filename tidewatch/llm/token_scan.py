@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, table, written
+from ..scratch import scratch_path
+from .common import table, written
 from .textblocks import utf8
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -137,7 +138,7 @@ def document_lengths(files: DataFrame, end: int = END, dtype: str = "<u2", block
 
 def op6_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = written(write_token_files(docs, fresh_path(spark, "token-files")), "token-index")
+    index = written(write_token_files(docs, scratch_path(spark, "token-files")), "token-index")
     lengths = document_lengths(index.where("file_bytes is not null").select("file", "file_bytes"))
     # both sides grow with the documents, however well they compress: never a broadcast
     return index.hint("merge").join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens")
