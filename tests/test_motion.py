@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pandas as pd
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewatch.config import ClipConfig, EventConfig
 from tidewatch.functions.timebase import Timebase
@@ -69,7 +71,7 @@ def as_sets(found, expected):
     return sorted((r["start_ms"], r["stop_ms"], r["max_score"]) for r in found) == sorted((s.start, s.stop, s.max_score) for s in expected)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), phases=[Phase.generate])
 @given(cases=st.lists(streams(), min_size=30, max_size=60), times=st.tuples(*[st.sampled_from([0, 1, 3, 8])] * 3))
 def test_windows_equal_fold_on_random_streams(spark, cases, times):
     rows = [(str(k), i, t, s) for k, frames in enumerate(cases) for i, (t, s) in enumerate(frames)]
@@ -81,6 +83,41 @@ def test_windows_equal_fold_on_random_streams(spark, cases, times):
             assert as_sets([r for r in rows if r["cam_id"] == str(k)], expected), (frames, times)
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), phases=[Phase.generate])
+@given(cases=st.lists(streams(), min_size=30, max_size=60), times=st.tuples(*[st.sampled_from([0, 1, 3, 8])] * 3))
+def test_emission_is_the_first_frame_that_lets_an_event_go(spark, cases, times):
+    cfg = config(times)
+    frames = spark.createDataFrame([(str(k), i, t, s) for k, rows in enumerate(cases) for i, (t, s) in enumerate(rows)], SCHEMA)
+    events = motion.motion_events(frames, cfg)
+    for chunk_ms in (None, 4.0):
+        found = sorted((int(r["cam_id"]), r["start_ms"], r["stop_ms"], r["emit_ms"] or math.inf) for r in motion.with_emission(events, frames, cfg, chunk_ms=chunk_ms).collect())
+        expected = []
+        for k, rows in enumerate(cases):
+            state = fold.State()
+            for frame in rows:
+                state, out = fold.step(state, Frame(*frame), cfg)
+                expected += [(k, s.start, s.stop, frame[0] or math.inf) for s in out]
+            expected += [(k, s.start, s.stop, math.inf) for s in fold.flush(state, cfg)]
+        for x, y in zip(found, sorted(expected), strict=True):
+            assert x == y, (cases[x[0]], times)
+
+
+def test_one_camera_of_many_frames_is_linear(spark):
+    """A scan ahead of every row would take minutes here."""
+    frames = spark.range(200_000).selectExpr("'c' as cam_id", "id as frame_id", "id * 40.0D as pts_ms", "case when id % 100 < 30 then 0.9D else 0.1D end as score")
+    cfg = EventConfig(0.5, 0.3, 100, 200, 500)
+    began = time.monotonic()
+    found = motion.with_emission(motion.motion_events(frames, cfg), frames, cfg).agg(F.count("*"), F.sum(F.col("emit_ms") - F.col("stop_ms"))).first()
+    assert tuple(found) == (2000, 2000 * 520.0)
+    assert time.monotonic() - began < 60
+
+
+def test_chunks_take_two_scans(spark, tmp_path):
+    spark.createDataFrame([("c", 0, 0.0, 0.5)], SCHEMA).write.parquet(str(tmp_path / "f"))
+    plan = chunked.motion_events(spark.read.parquet(str(tmp_path / "f")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2 and plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") <= 6
+
+
 def test_settings_without_a_closed_form_are_refused(spark):
     frames = spark.createDataFrame([("c", 0, 0.0, 0.5)], SCHEMA)
     with pytest.raises(ValueError):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 from types import SimpleNamespace
 
 import numpy as np
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from tidewatch import cli
 from tidewatch.config import ClipConfig, EventConfig, MotionConfig, RecorderConfig
 from tidewatch.functions.timebase import Timebase, now_ms
-from tidewatch.operators import frames, stats
+from tidewatch.operators import fold, frames, motion, stats
 from tidewatch.plans.pipeline import deliver, motion_pipeline, scored_frames
 from tidewatch.sinks.recorder import send_requests
+from tidewatch.sinks.sidecar import motion_event_records
 from tidewatch.sources import discovery
 
 
@@ -52,6 +54,29 @@ def test_from_pixels_to_clips(spark, tmp_path, variant):
     assert (sent["status"], sent["path"], sent["error_kind"]) == ("done", "/c.mp4", None)
 
 
+def test_records_carry_telemetry_whatever_the_form(spark):
+    """Windows, chunks and the fold give the same records."""
+    schema = "cam_id string, frame_id long, pts_ms double, score double, wind_like boolean, real_override boolean, foliage_motion_frac double, wind_state string, zones_active_frac double"
+    rows = []
+    for cam in "ab":
+        for i in range(60):
+            on = i % 20 in (3, 4, 5, 6, 11, 12) or cam == "b" and i % 20 == 8
+            rows.append((cam, i, 100.0 * i, 0.9 if on else 0.1, i % 7 == 0, i % 5 == 0, None if i % 9 == 0 else i / 100, (None, "", "Calm", "Gusty")[i % 4], math.nan if i % 6 == 0 else i / 60))
+    frames_ = spark.createDataFrame(rows, schema)
+    cfg = EventConfig(0.5, 0.3, 0, 150, 300)
+    order = lambda r: tuple(map(str, r))
+    tb = Timebase(0.0, 0, "ns")
+    plain = motion_pipeline(frames_, tb, cfg).records
+    found = sorted(map(tuple, plain.collect()), key=order)
+    assert len(found) >= 4 and any(r[plain.columns.index("wind_state")] == "Gusty" for r in found) and any(r[plain.columns.index("real_override")] for r in found)
+    assert sorted(map(tuple, motion_pipeline(frames_, tb, cfg, chunk_ms=700.0).records.collect()), key=order) == found
+    by_fold = fold.motion_events_fold(motion.with_telemetry(frames_), cfg)
+    by_fold = by_fold.withColumn("start_pts_ns", (F.col("start_ms") * 1e6).cast("long")).withColumn("stop_pts_ns", (F.col("stop_ms") * 1e6).cast("long"))
+    assert sorted(map(tuple, motion_event_records(by_fold).collect()), key=order) == found
+    bare = motion_pipeline(frames_.select("cam_id", "frame_id", "pts_ms", "score"), tb, cfg).records.first()
+    assert (bare["wind_state"], bare["wind_idx"], bare["real_override"]) == ("Unknown", 0.0, False)
+
+
 def test_command_line(spark, tmp_path, capsys):
     log = tmp_path / "p.log"
     log.write_text("[clip] indexed segment: start=100 end=200 ms location=/a/seg_7.mp4\n")

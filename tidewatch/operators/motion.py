@@ -112,14 +112,45 @@ def motion_events(frames: DataFrame, cfg: EventConfig = EventConfig(), key: str
     return merged(activations(frames, cfg, key, t, order, telemetry), cfg, key, timebase, telemetry)
 
 
-def with_emission(events: DataFrame, frames: DataFrame, cfg: EventConfig = EventConfig(), key: str = "cam_id", t: str = "pts_ms") -> DataFrame:
+def with_emission(events: DataFrame, frames: DataFrame, cfg: EventConfig = EventConfig(), key: str = "cam_id", t: str = "pts_ms", chunk_ms: float | None = None) -> DataFrame:
     """Adds emit_ms: the first frame's time at or after the close that lies ``merge_gap_ms`` past the stop; null
-    where only the end of the stream emits the event. An as-of join: events and frames in one ordering."""
-    due = F.greatest("close_ms", F.col("stop_ms") + cfg.merge_gap_ms)
+    where only the end of the stream emits the event. An as-of join: events and frames in one ordering, from the
+    last to the first, in which the nearest frame ahead is what has been seen latest.
+
+    ``chunk_ms`` cuts cameras that are too large for one task; a chunk's events then look on to the first frame of the
+    chunks after it.
+    """
+    due = F.when(F.col("close_ms").isNotNull(), F.greatest("close_ms", F.col("stop_ms") + cfg.merge_gap_ms))
     marks = events.select(F.col(key), due.alias("_at"), F.lit(0).alias("_kind"), F.struct(*[c for c in events.columns if c != key]).alias("_event"))
     times = frames.select(F.col(key), F.col(t).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_event"].dataType).alias("_event"))
-    ahead = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = marks.where("_at is not null").unionByName(times)
-    found = both.withColumn("emit_ms", F.first(F.when(F.col("_kind") == 1, F.col("_at")), ignorenulls=True).over(ahead)).where("_kind = 0")
+    both = marks.where("_at is not null").unionByName(times).withColumn("_frame", F.when(F.col("_kind") == 1, F.col("_at")))
+    keys = [key]
+    if chunk_ms:
+        both, keys = both.withColumn("_chunk", F.floor(F.col("_at") / chunk_ms)), [key, "_chunk"]
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("emit_ms", F.last("_frame", ignorenulls=True).over(back)).where("_kind = 0")
+    if chunk_ms:
+        chunks = both.groupBy(*keys).agg(F.min("_frame").alias("_first"))
+        later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        chunks = chunks.select(*keys, F.last("_first", ignorenulls=True).over(later).alias("_next"))
+        found = found.join(chunks.hint("merge"), keys).withColumn("emit_ms", F.coalesce("emit_ms", "_next"))
     never = marks.where("_at is null").withColumn("emit_ms", F.lit(None).cast("double"))
-    return found.unionByName(never).select(key, "_event.*", "emit_ms")
+    columns = [F.col(key), "_event.*", F.col("emit_ms")]
+    return found.select(*columns).unionByName(never.select(*columns))
+
+
+def with_telemetry(frames: DataFrame) -> DataFrame:
+    """``frames`` with all columns of ``TELEMETRY``: a column that is missing has the motion result's default, a null or
+    NaN in one that is given tells nothing (false, 0, no wind state)."""
+    unset = {"wind_like": False, "real_override": False, "wind_state": "Unknown"}
+    out = frames
+    for name in TELEMETRY:
+        if name not in frames.columns:
+            out = out.withColumn(name, F.lit(unset.get(name, 0.0)))
+        elif name in ("wind_like", "real_override"):
+            out = out.withColumn(name, F.coalesce(name, F.lit(False)))
+        elif name == "wind_state":
+            out = out.withColumn(name, F.coalesce(name, F.lit("")))
+        else:
+            out = out.withColumn(name, F.coalesce(_number(F.col(name).cast("double")), F.lit(0.0)))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed formats of the producer's log and of segment file names.
@@ -30,15 +30,20 @@ def ordered(segments: DataFrame) -> DataFrame:
     return segments.orderBy(*_order())
 
 
-def horizon(segments: DataFrame) -> DataFrame:
-    """One row: earliest_ms, latest_ms, n_segments."""
-    return segments.agg(F.min("start_ms").alias("earliest_ms"), F.max("end_ms").alias("latest_ms"), F.count("*").alias("n_segments"))
+def horizon(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """earliest_ms, latest_ms, n_segments: one row, or one for each value of ``keys`` (the cameras, say)."""
+    return segments.groupBy(*keys).agg(F.min("start_ms").alias("earliest_ms"), F.max("end_ms").alias("latest_ms"), F.count("*").alias("n_segments"))
 
 
-def last_n(segments: DataFrame, n: int = 50) -> DataFrame:
-    """The last n (one at least), shown in ascending order; idx is the index or ``-``."""
-    tail = segments.orderBy(*[c.desc() for c in _order()], F.col("path").desc()).limit(max(1, n))
-    return ordered(tail.withColumn("idx", F.coalesce(F.col("index").cast("string"), F.lit("-"))))
+def last_n(segments: DataFrame, n: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The last n (one at least) of all, or of each value of ``keys``, shown in ascending order; idx is the index or ``-``."""
+    back, n = [*[c.desc() for c in _order()], F.col("path").desc()], max(1, n)
+    if keys:
+        # Spark drops rows beyond n before it exchanges them
+        tail = segments.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*back))).where(F.col("_place") <= n).drop("_place")
+    else:
+        tail = segments.orderBy(*back).limit(n)
+    return tail.withColumn("idx", F.coalesce(F.col("index").cast("string"), F.lit("-"))).orderBy(*keys, *_order())
 
 
 def against_horizon(start: Column, stop: Column, earliest: Column, latest: Column) -> Column:
@@ -52,11 +57,13 @@ def against_horizon(start: Column, stop: Column, earliest: Column, latest: Colum
     )
 
 
-def classify_events(events: DataFrame, segments: DataFrame, start: str = "start_ms", stop: str = "stop_ms") -> DataFrame:
-    """Each event against the horizon of all segments. The horizon is one row, so every task gets it."""
-    joined = events.join(F.broadcast(horizon(segments).select("earliest_ms", "latest_ms")))
+def classify_events(events: DataFrame, segments: DataFrame, start: str = "start_ms", stop: str = "stop_ms", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each event against the horizon of all segments, one row that every task gets, or, with ``keys``, against that of the
+    segments that agree on them. Null where there are no segments."""
+    bounds = horizon(segments, keys).select(*keys, "earliest_ms", "latest_ms")
+    joined = events.join(bounds, list(keys), "left") if keys else events.join(F.broadcast(bounds))
     relation = against_horizon(F.col(start), F.col(stop), F.col("earliest_ms"), F.col("latest_ms"))
-    return joined.withColumn("classification", relation)
+    return joined.withColumn("classification", F.when(F.col("earliest_ms").isNotNull(), relation))
 
 
 def overlapping_segments(windows: DataFrame, segments: DataFrame, start: str = "clip_start_ms", stop: str = "clip_stop_ms", bucket_ms: float = 86_400_000.0, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -35,19 +35,21 @@ def motion_pipeline(
     service: RecorderConfig | None = None,
     chunk_ms: float | None = None,
 ) -> Outcome:
-    """Scored frames (cam_id, frame_id, pts_ms in epoch milliseconds, score) to events, records and clip requests.
+    """Scored frames (cam_id, frame_id, pts_ms in epoch milliseconds, score, whatever telemetry there is) to events,
+    records that carry their frames' telemetry, and clip requests.
 
     ``chunk_ms`` cuts cameras that are too large for a task; settings without a closed form go to the fold.
     Requests carry a key, their payload and what is wrong with them; ``sinks.recorder.send_requests`` sends them.
     """
+    scored = motion.with_telemetry(scored)
     if not events.closed_form():
         found = fold.motion_events_fold(scored, events)
         to_pts = timebase.to_pts if timebase else (lambda ms: ms)
         found = found.withColumn("start_pts_ns", to_pts(found["start_ms"]).cast("long")).withColumn("stop_pts_ns", to_pts(found["stop_ms"]).cast("long"))
     elif chunk_ms:
-        found = chunked.motion_events(scored, events, chunk_ms, timebase=timebase)
+        found = chunked.motion_events(scored, events, chunk_ms, timebase=timebase, telemetry=True)
     else:
-        found = motion.motion_events(scored, events, timebase=timebase)
+        found = motion.motion_events(scored, events, timebase=timebase, telemetry=True)
     service = service or RecorderConfig("http://127.0.0.1:8080")
     asked = recorder.payloads(recorder.normalise_requests(clip_requests(found, clips, timebase), timebase), service)
     key = recorder.request_key("cam_id", "win_start_pts", "win_stop_pts", "win_start_ms", "win_stop_ms")

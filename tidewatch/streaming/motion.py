@@ -1,8 +1,10 @@
 """Motion events on Structured Streaming: the fold's state machine, keyed by camera.
 
 The state of a camera is one active and one pending event, whatever the stream's length. A micro-batch's frames
-are put in order of (t, frame_id); frames older than the watermark are dropped by Spark. Spark tells no
-operator that a stream has ended, so a frame with a null score and ``ends`` set flushes its camera.
+of a camera are put in order of (t, frame_id) in memory: bound them by the source's rate per trigger. Batches are taken as
+they arrive: no watermark drops a late frame, which meets the state as it is by
+then. Spark tells no operator that a stream has ended, so a frame with a null score and ``ends`` set flushes
+its camera and drops its state.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ def motion_event_stream(frames: DataFrame, cfg: EventConfig = EventConfig(), key
             state, done = step(state, frame, cfg)
             out += done
         if rows[ends].any():
-            out, state = [*out, *flush(state, cfg)], State()
-        held.update((json.dumps([state.active, state.pending]),))
+            out = [*out, *flush(state, cfg)]
+            if held.exists:
+                held.remove()
+        else:
+            held.update((json.dumps([state.active, state.pending]),))
         found = pd.DataFrame(out, columns=columns[1:])
         found.insert(0, key, keys[0])
         yield found
