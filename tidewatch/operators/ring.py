@@ -90,6 +90,15 @@ def live_first(polls: DataFrame, ring: str = "ring_id", poll: str = "poll", fram
     return fold_by_key(polls, ring, [poll, frame], f"{ring} {kind}, {poll} {poll_kind}, taken_id long", lambda: {"seen": -1, "poll": None, "ids": []}, feed, taken)
 
 
+def untorn(reads: DataFrame, keys: tuple[str, ...] = ("ring_id", "poll"), attempt: str = "attempt", before: str = "frame_id", after: str = "frame_id_after", attempts: int = 2) -> DataFrame:
+    """Of the attempts (from 1) to read a slot, the first that found the same frame before and after copying it; a read
+    that is torn ``attempts`` times gives no row. A null id is a torn read."""
+    whole = reads.where((F.col(attempt) <= attempts) & (F.col(before) == F.col(after)))
+    rest = [c for c in reads.columns if c not in keys]
+    first = whole.groupBy(*keys).agg(F.min_by(F.struct(*rest), attempt).alias("_read"))
+    return first.select(*keys, "_read.*")
+
+
 def bounded_queue(trace: DataFrame, size: int, policy: str = "drop_new", key: str = "cam_id", order: str = "seq", action: str = "action", item: str = "frame_id") -> DataFrame:
     """A queue's trace of ``put`` and ``get`` actions, replayed: which frames went in, came out or were dropped.
 

@@ -91,3 +91,40 @@ def producer_lag(stats: DataFrame, latest: list[str], last: str) -> DataFrame:
     """Adds lag_fids: the first given name of the producer's latest id minus ours; null where either is no number."""
     newest = F.coalesce(*[F.col(f"`{c}`").try_cast("long") for c in latest])
     return stats.withColumn("lag_fids", newest - F.col(last).try_cast("long"))
+
+
+#: What producers call their figures; the first name that is there counts.
+PRODUCER = {
+    "encoder_fps": ("encoder_fps", "encoder-fps"),
+    "segment_count": ("segment_count", "segments", "segment-count"),
+    "last_segment": ("last_segment", "last-segment"),
+    "latest_id": ("latest_frame_id", "latest-frame-id"),
+}
+
+
+def reader_report(reads: DataFrame, seconds: Column, now: Column, producer: Column | None = None, key: str = "cam_id", t: str = "pts_ms", order: str = "frame_id", us: str = "loop_us", rows: int = 1000) -> DataFrame:
+    """One row for each camera of a log of reads (key, t, order, enqueued, dropped, emitted, ``us``): frames_in, frames_out,
+    drops, fps over ``seconds``, the age of its last frame, mean and 95th percentile of its last ``rows`` loops, and, of
+    the map ``producer`` (see ``parse_producer_stats``), the producer's figures and how many ids it is ahead.
+
+    Only a camera's last ``rows`` reads are exchanged for the percentiles.
+    """
+    back = Window.partitionBy(key).orderBy(F.desc(t), F.desc(order))
+    last = reads.withColumn("_nth", F.row_number().over(back)).where(F.col("_nth") <= rows)
+    loops = last.groupBy(key).agg(F.avg(us).alias("loop_us_mean"), F.percentile(us, F.lit(0.95)).alias("loop_us_p95"))
+    place = F.struct(t, order)
+    aggregates = [
+        F.count_if("enqueued").alias("frames_in"),
+        F.count_if("emitted").alias("frames_out"),
+        F.count_if("dropped").alias("drops"),
+        (F.count_if("emitted") / F.greatest(F.max(seconds), F.lit(1))).alias("fps"),
+        F.max_by(frame_age(now, F.col(t)), place).alias("last_age_ms"),
+        F.max_by(order, place).alias("last_id"),
+    ]
+    if producer is not None:
+        told = F.max_by(producer, place)
+        aggregates += [F.coalesce(*[told[n] for n in names]).alias(name) for name, names in PRODUCER.items()]
+    out = reads.groupBy(key).agg(*aggregates)
+    if producer is not None:
+        out = out.withColumn("lag_fids", F.col("latest_id").try_cast("long") - F.col("last_id").try_cast("long"))
+    return out.join(loops, key)

@@ -9,10 +9,13 @@ from ..config import MotionConfig
 from ..functions import scoring, timebase
 from ..functions.timebase import Timebase
 from ..operators import chunked, fold, motion, stride
+from ..operators.detect import detect, detection
+from ..operators.frames import motion_counts
 from ..scratch import scratch_path
 from ..sinks import sidecar
 from ..sources.files import read_sidecar
 from ..streaming.motion import motion_event_stream, run_available
+from . import pipeline
 from .adapter import EVENTS, FRAMES_SQL, TIMEBASE, frames
 from .state_machine_sql import activations_sql, events_sql
 
@@ -157,6 +160,50 @@ def motion_event_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sidecar(spark, path, records.schema)
 
 
+def pipeline_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline as it is delivered, cameras cut into chunks: the sidecar that it writes, read again."""
+    path = scratch_path(spark, "delivered")
+    outcome = pipeline.motion_pipeline(frames(spark, sf_dir, True), TIMEBASE, EVENTS, chunk_ms=5 * 86_400_000.0)
+    pipeline.deliver(outcome, path)
+    return read_sidecar(spark, path, outcome.records.schema)
+
+
+def buffered_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buffered transport's times: nanoseconds always, divided."""
+    return frames(spark, sf_dir).select("frame_id", timebase.buffered_pts_to_epoch_ms(F.col("pts_us") * 1000, F.lit(BASE_MS), F.lit(1.0e13)).alias("epoch_ms"))
+
+
+class _Bright:
+    """A background model that takes every bright pixel for foreground."""
+
+    def __init__(self, cfg: MotionConfig):
+        pass
+
+    def apply(self, frame):
+        return frame.max(axis=2)
+
+
+def foreground_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pixels to counts: every second frame reaches the model, and a frame without pixels counts as none."""
+    n = F.col("frame_id") % 17
+    pixels = F.unhex(F.concat(F.repeat(F.lit("00ff40"), n.cast("int")), F.repeat(F.lit("001020"), (16 - n).cast("int"))))
+    rows = frames(spark, sf_dir).select("cam_id", "frame_id", "pts_ms", F.lit(4).alias("width"), F.lit(4).alias("height"), F.when(F.col("frame_id") % 13 != 0, pixels).alias("img"))
+    return motion_counts(rows, MotionConfig(stride=2, morph_kernel=1), _Bright).select("cam_id", "frame_id", "fg_pixels", "total_pixels")
+
+
+def _one_box():
+    return lambda frame: [detection((frame.shape[1], frame.shape[0], frame[0, 0, 0], 9.9), frame[0, 0, 1] / 4, frame[0, 0, 2])] if frame[0, 0, 2] else []
+
+
+def frame_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector that is passed in, over packed frames of two by one pixels."""
+    img = F.unhex(F.concat(F.lpad(F.hex(F.col("frame_id") % 200), 2, "0"), F.lpad(F.hex(F.col("cam_id") % 4), 2, "0"), F.lpad(F.hex(F.col("frame_id") % 3), 2, "0"), F.lit("000000")))
+    rows = frames(spark, sf_dir).select("frame_id", img.alias("img"), F.lit(2).alias("width"), F.lit(1).alias("height"))
+    found = detect(rows, _one_box).select("frame_id", F.explode("detections").alias("d"))
+    corner = lambda i: F.element_at("d.xyxy", i + 1).cast("long")
+    return found.select("frame_id", *[corner(i).alias(f"x{i}") for i in range(4)], F.col("d.conf").alias("conf"), F.col("d.cls_id").cast("long").alias("cls_id"), F.col("d.cls_name").alias("cls_name"))
+
+
 _SIDECAR_SQL = f"'motion_event' AS type, {pts_sql('start_ms')} AS start_pts_ns, {pts_sql('stop_ms')} AS stop_pts_ns, start_ms, stop_ms, max_score, {', '.join(motion.TELEMETRY)}"
 
 QUERIES = {f"timebase_{u}": _timebase(u) for u in RAW} | {
@@ -177,6 +224,10 @@ QUERIES = {f"timebase_{u}": _timebase(u) for u in RAW} | {
         motion_events_chunked,
         motion_events_stream,
         motion_event_sidecar,
+        pipeline_sidecar,
+        buffered_pts,
+        foreground_counts,
+        frame_detections,
     )
 }
 
@@ -200,4 +251,12 @@ SELECT a.cam_id, a.frame_id, a.pts_ms, b.score FROM numbered a JOIN numbered b O
     "motion_events_chunked": _TELEMETRY_SQL,
     "motion_events_stream": _TELEMETRY_SQL,
     "motion_event_sidecar": events_sql(_SIDECAR_SQL),
+    "pipeline_sidecar": events_sql(_SIDECAR_SQL),
+    "buffered_pts": f"WITH {FRAMES_SQL} SELECT frame_id, {BASE_MS}::DOUBLE + (CAST(pts_us * 1000 AS DOUBLE) - 1e13::DOUBLE) / 1e6::DOUBLE AS epoch_ms FROM frames",
+    "foreground_counts": f"""WITH {FRAMES_SQL}, numbered AS (
+  SELECT cam_id, frame_id, row_number() OVER (PARTITION BY cam_id ORDER BY pts_ms, frame_id) - 1 AS n, CASE WHEN frame_id % 13 <> 0 THEN frame_id % 17 ELSE 0 END AS fg, CASE WHEN frame_id % 13 <> 0 THEN 16 ELSE 0 END AS total FROM frames
+)
+SELECT a.cam_id, a.frame_id, b.fg AS fg_pixels, CAST(b.total AS BIGINT) AS total_pixels FROM numbered a JOIN numbered b ON b.cam_id = a.cam_id AND b.n = a.n - a.n % 2""",
+    "frame_detections": """SELECT event_id AS frame_id, 2::BIGINT AS x0, 1::BIGINT AS x1, event_id % 200 AS x2, 9::BIGINT AS x3, (user_id % 4) / 4.0::DOUBLE AS conf, event_id % 3 AS cls_id, CAST(event_id % 3 AS VARCHAR) AS cls_name
+FROM events WHERE event_id % 3 <> 0""",
 }

@@ -6,23 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ring, stats
+from ..operators.segments import parse_segments
 from ..scratch import scratch_path
 from ..sinks.sidecar import write_sidecar
 from ..sources import discovery
-from ..sources.files import parse_producer_stats, read_sidecar
-from .adapter import FRAMES_SQL, frames
+from ..sources.files import parse_producer_stats, read_log_lines, read_ring_dumps, read_sidecar
+from .adapter import FRAMES_SQL, SEGMENTS_SQL, frames, segment_lines
 from .motion_queries import BASE_MS
 
-#: The window of the SQL.
-ROWS = 20
-
-
 def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).withColumn("loop_us", F.col("score") * 1000)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("frame_id", F.round("loop_us_mean", 6).alias("loop_us_mean"), F.round("loop_us_p95", 6).alias("loop_us_p95"))
+    return df.select("frame_id", F.round("loop_us_mean", 8).alias("loop_us_mean"), F.round("loop_us_p95", 8).alias("loop_us_p95"))
 
 
 def loop_stats_linear_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +91,14 @@ def live_first_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.live_first(_polls(spark, sf_dir))
 
 
+def torn_frame_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at every frame, of which a reader makes two; which are torn depends on the frame's number."""
+    f = frames(spark, sf_dir).select(F.col("cam_id").alias("ring_id"), F.col("frame_id").alias("poll"), F.col("frame_id") * 10, F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt")).toDF("ring_id", "poll", "frame_id", "attempt")
+    torn = (F.col("poll") % 4 == 0) & (F.col("attempt") == 1) | (F.col("poll") % 7 == 0) & (F.col("attempt") < 3)
+    reads = f.withColumn("frame_id", F.col("frame_id") + F.col("attempt")).withColumn("frame_id_after", F.when(F.col("poll") % 11 != 0, F.col("frame_id") + torn.cast("int")))
+    return ring.untorn(reads).select("ring_id", "poll", F.col("attempt").cast("long").alias("attempt"), "frame_id")
+
+
 def queue_drop_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue of three that throws out the oldest: views and sign-ups take from it, all others put in."""
     f = frames(spark, sf_dir, True)
@@ -115,6 +120,41 @@ def ring_header_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.slot_headers(f.select(slot.alias("slot"))).select("frame_id", "pts_ns", "width", "height", "stride", "fmt_code", "payload_len")
 
 
+def ring_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings dumped to files, one folder a camera, and scanned again: whole slots, headers and payloads."""
+    path = scratch_path(spark, "dumps")
+    f = frames(spark, sf_dir)
+    magic = F.when(F.col("frame_id") % 9 == 0, F.lit(1)).otherwise(F.lit(ring.MAGIC))
+    parts = [(magic, 4), (F.lit(1), 2), (F.lit(0), 1), (F.lit(0), 1), (F.lit(2), 2), (F.lit(1), 2), (F.lit(8), 4), (F.col("frame_id"), 8), (F.col("pts_us") * 1000, 8), (F.lit(8), 4), (F.lit(0), 4)]
+    # a text file holds a string's bytes as they are, and its line ends pad the slots
+    slot = F.unhex(F.concat(*[_bytes(*p) for p in parts], F.hex(F.lpad(F.col("frame_id").cast("string"), 8, "x"))))
+    f.select("cam_id", slot.cast("string").alias("slot")).write.partitionBy("cam_id").text(path)
+    found = read_ring_dumps(spark, path, 49)
+    return found.select(F.regexp_extract("path", "cam_id=(\\d+)", 1).cast("long").alias("cam_id"), "frame_id", "pts_ns", "width", "payload_len", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The producer's log written as text files, read as lines and parsed."""
+    path = scratch_path(spark, "log")
+    segment_lines(spark, sf_dir).select("line").write.text(path)
+    found = parse_segments(read_log_lines(spark, path).select("line"))
+    return found.select("start_ms", "end_ms", "path", "index", "duration_ms")
+
+
+def pipe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(F.lit("cam"), F.lit("  ring "), F.lit("None"), F.lit(""), F.lit(discovery.PIPE + "own"), F.lit("OFF"), F.lit(None)), (F.col("frame_id") % 7).cast("int") + 1)
+    return frames(spark, sf_dir).select("frame_id", discovery.pipe_paths(name).alias("pipe"))
+
+
+def reader_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every camera's reader: counters, rate, ages, loop timings and what the producer tells."""
+    k = F.col("frame_id")
+    told = F.when(k % 2 == 0, F.concat(F.lit('{"encoder_fps": "15", "segments": "3", "latest_frame_id": "'), k + 5, F.lit('"}'))).otherwise(F.concat(F.lit("encoder-fps  latest-frame-id\n14  "), k + 7))
+    reads = _loops(spark, sf_dir).withColumn("enqueued", k % 5 != 0).withColumn("dropped", k % 7 == 0).withColumn("emitted", k % 3 != 0)
+    found = stats.reader_report(reads, F.col("cam_id") % 40, F.lit(BASE_MS + 40 * 86_400_000.0), parse_producer_stats(told), rows=30)
+    return found.select("cam_id", "frames_in", "frames_out", "drops", "fps", "last_age_ms", F.round("loop_us_mean", 8).alias("loop_us_mean"), F.round("loop_us_p95", 8).alias("loop_us_p95"), "encoder_fps", "segment_count", "lag_fids")
+
+
 _FORMATS = ("BGR", "bgrx", "BGRA", "RGB", "rgbx", "YUV")
 
 
@@ -163,6 +203,11 @@ QUERIES = {
         producer_stats_table,
         frame_lag,
         live_first_select,
+        torn_frame_guard,
+        ring_dump_scan,
+        log_scan,
+        pipe_paths,
+        reader_report,
         queue_drop_policy,
         ring_header_decode,
         pixel_to_bgr,
@@ -172,7 +217,7 @@ QUERIES = {
     )
 }
 
-_WINDOW = f"OVER (PARTITION BY cam_id ORDER BY pts_ms, frame_id ROWS BETWEEN {ROWS - 1} PRECEDING AND CURRENT ROW)"
+_LINEAR, _RANK = (f"OVER (PARTITION BY cam_id ORDER BY pts_ms, frame_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (1000, 512))
 _CANDIDATES = ("epoch_ms", "now_ms - raw"), ("epoch_s", "now_ms - raw * 1000.0::DOUBLE"), *(
     (n, f"now_ms - ({BASE_MS}::DOUBLE + (raw * {k}::DOUBLE - 0.0::DOUBLE) * 1e-6::DOUBLE)") for n, k in (("health_ns", "1.0"), ("health_us", "1000.0"), ("health_ms", "1000000.0"))
 )
@@ -189,9 +234,9 @@ SELECT frame_id, unit FROM c{len(_CANDIDATES)}"""
 
 
 ORACLE_SQL = {
-    "loop_stats_linear_p95": f"WITH {FRAMES_SQL} SELECT frame_id, round(avg(score * 1000) {_WINDOW}, 6) AS loop_us_mean, round(quantile_cont(score * 1000, 0.95) {_WINDOW}, 6) AS loop_us_p95 FROM frames",
-    "loop_stats_rank_p95": f"""WITH {FRAMES_SQL}, kept AS (SELECT frame_id, avg(score * 1000) {_WINDOW} AS m, list_sort(list(score * 1000) {_WINDOW}) AS l FROM frames)
-SELECT frame_id, round(m, 6) AS loop_us_mean, round(l[CAST(floor(0.95::DOUBLE * (len(l) - 1)) AS BIGINT) + 1], 6) AS loop_us_p95 FROM kept""",
+    "loop_stats_linear_p95": f"WITH {FRAMES_SQL} SELECT frame_id, round(avg(score * 1000) {_LINEAR}, 8) AS loop_us_mean, round(quantile_cont(score * 1000, 0.95) {_LINEAR}, 8) AS loop_us_p95 FROM frames",
+    "loop_stats_rank_p95": f"""WITH {FRAMES_SQL}, kept AS (SELECT frame_id, avg(score * 1000) {_RANK} AS m, list_sort(list(score * 1000) {_RANK}) AS l FROM frames)
+SELECT frame_id, round(m, 8) AS loop_us_mean, round(l[CAST(floor(0.95::DOUBLE * (len(l) - 1)) AS BIGINT) + 1], 8) AS loop_us_p95 FROM kept""",
     "frame_age_watchdog": f"WITH {FRAMES_SQL} SELECT cam_id, frame_id, {BASE_MS + 10 * 86_400_000.0}::DOUBLE - pts_ms AS age_ms FROM frames WHERE {BASE_MS + 10 * 86_400_000.0}::DOUBLE - pts_ms > 1500",
     "reader_counters": "SELECT user_id AS cam_id, count(*) FILTER (event_id % 5 <> 0) AS frames_in, count(*) FILTER (event_id % 3 <> 0) AS frames_out, count(*) FILTER (event_id % 7 = 0) AS drops FROM events GROUP BY 1",
     "frames_per_second": "SELECT user_id AS cam_id, count(*)::DOUBLE / greatest(max(user_id % 40), 1)::DOUBLE AS fps FROM events GROUP BY 1",
@@ -210,6 +255,18 @@ CASE WHEN event_id % 4 < 2 THEN CAST(event_id AS VARCHAR) END AS latest, CASE WH
   UNION ALL SELECT w.cam_id, q.p, q.n, CASE WHEN q.n - w.seen > 2 THEN q.n ELSE w.seen + 1 END FROM walk w JOIN polls q ON q.cam_id = w.cam_id AND q.p = w.p + 1
 )
 SELECT cam_id AS ring_id, n AS poll, seen AS taken_id FROM walk""",
+    "torn_frame_guard": """SELECT user_id AS ring_id, event_id AS poll, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS attempt, event_id * 10 + CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS frame_id
+FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""",
+    "ring_dump_scan": "SELECT user_id AS cam_id, event_id AS frame_id, epoch_us(ts) * 1000 AS pts_ns, 2::BIGINT AS width, 8::BIGINT AS payload_len, lpad(CAST(event_id AS VARCHAR), 8, 'x') AS payload FROM events WHERE event_id % 9 <> 0",
+    "log_scan": f"WITH {FRAMES_SQL}, {SEGMENTS_SQL} SELECT start_ms, end_ms, path, index, duration_ms FROM segments",
+    "pipe_paths": """SELECT event_id AS frame_id, CASE event_id % 7 WHEN 0 THEN '\\\\.\\pipe\\cam' WHEN 1 THEN '\\\\.\\pipe\\ring' WHEN 4 THEN '\\\\.\\pipe\\own' END AS pipe FROM events""",
+    "reader_report": f"""WITH {FRAMES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY cam_id ORDER BY pts_ms DESC, frame_id DESC) AS nth FROM frames),
+totals AS (SELECT cam_id, count(*) FILTER (frame_id % 5 <> 0) AS frames_in, count(*) FILTER (frame_id % 3 <> 0) AS frames_out, count(*) FILTER (frame_id % 7 = 0) AS drops,
+  count(*) FILTER (frame_id % 3 <> 0) / greatest(any_value(cam_id % 40), 1)::DOUBLE AS fps FROM frames GROUP BY 1),
+loops AS (SELECT cam_id, round(avg(score * 1000), 8) AS loop_us_mean, round(quantile_cont(score * 1000, 0.95), 8) AS loop_us_p95 FROM numbered WHERE nth <= 30 GROUP BY 1)
+SELECT cam_id, frames_in, frames_out, drops, fps, {BASE_MS + 40 * 86_400_000.0}::DOUBLE - pts_ms AS last_age_ms, loop_us_mean, loop_us_p95,
+  CASE WHEN frame_id % 2 = 0 THEN '15' ELSE '14' END AS encoder_fps, CASE WHEN frame_id % 2 = 0 THEN '3' END AS segment_count, CASE WHEN frame_id % 2 = 0 THEN 5 ELSE 7 END::BIGINT AS lag_fids
+FROM numbered JOIN totals USING (cam_id) JOIN loops USING (cam_id) WHERE nth = 1""",
     "queue_drop_policy": f"""WITH RECURSIVE {FRAMES_SQL}, trace AS (
   SELECT cam_id, frame_id, row_number() OVER (PARTITION BY cam_id ORDER BY pts_ms, frame_id) AS seq, wind_state IN ('view', 'signup') AS takes FROM frames
 ), walk AS (

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ClipConfig, RecorderConfig
 from ..operators import clips, recorder, segments
+from ..sinks.recorder import send_requests
 from .adapter import FRAMES_SQL, HOUR, SEGMENTS_SQL, TIMEBASE, frames, segment_lines
 from .motion_queries import BASE_MS, events, pts_sql
 from .state_machine_sql import events_sql
@@ -71,9 +74,8 @@ def clip_request_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clip_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payloads' fields; a key that is left out reads as null."""
     sent = recorder.payloads(recorder.normalise_requests(_odd_requests(spark, sf_dir), TIMEBASE), RECORDER)
-    field = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind).alias(name)
-    named = [("start_pts_ns", "long"), ("stop_pts_ns", "long"), ("start_epoch_ms", "long"), ("label", "string"), ("out_dir", "string"), ("filename", "string"), ("preroll_ms", "long"), ("postroll_ms", "long")]
-    return sent.where("payload is not null").select("frame_id", *[field(*x) for x in named], F.size(F.json_object_keys("payload")).cast("long").alias("n_keys"))
+    fields = "start_pts_ns long, stop_pts_ns long, start_epoch_ms long, label string, out_dir string, filename string, preroll_ms long, postroll_ms long"
+    return sent.where("payload is not null").select("frame_id", F.from_json("payload", fields).alias("sent"), F.size(F.json_object_keys("payload")).cast("long").alias("n_keys")).select("frame_id", "sent.*", "n_keys")
 
 
 #: Responses of every shape, chosen by frame number.
@@ -96,6 +98,41 @@ def clip_status_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("frame_id", text.alias("response")).select("frame_id", status.alias("status"), path.alias("path"))
 
 
+#: What a service answers to a posted job, chosen by frame number.
+ACCEPTED = ('{"id":"a1","clip_id":"b1"}', '{"clip_id":"b2"}', '{"id":"","clip_id":"b3"}', '{"ok":true}', '{"id":null,"clip_id":7}')
+
+
+def clip_job_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(x) for x in ACCEPTED]), (F.col("frame_id") % len(ACCEPTED)).cast("int") + 1)
+    return frames(spark, sf_dir).select("frame_id", recorder.job_id(text).alias("job_id"))
+
+
+class _Answers:
+    """A clip service in a session's place: fails, loses or makes a clip by the window that it is asked for."""
+
+    def post(self, url: str, json: dict | None = None, timeout: float | None = None) -> SimpleNamespace:
+        if json is None:  # a rotation
+            return SimpleNamespace(status_code=200)
+        start = json["start_pts_ns"] // 1_000_000_000
+        return SimpleNamespace(status_code=409 if start % 5 == 0 else 200, json=lambda: {"id": str(start)})
+
+    def get(self, url: str, timeout: float | None = None) -> SimpleNamespace:
+        start = int(url.rsplit("/", 1)[1])
+        return SimpleNamespace(status_code=200, json=lambda: {"status": "error"} if start % 5 == 1 else {"clip": {"status": "done", "path": f"/clips/{start}.mp4"}})
+
+
+def clip_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's clip asked for from a service, and what came of it."""
+    asked = recorder.payloads(recorder.normalise_requests(clip_requests_pts(spark, sf_dir), TIMEBASE), RECORDER)
+    keyed = asked.select(F.concat_ws("|", "cam_id", "start_pts_ns", "stop_pts_ns").alias("request_key"), "payload", "error")
+    sent = send_requests(keyed, RECORDER, _Answers, ClipConfig(force_rotate_url="http://recorder/rotate"), sleep=_at_once)
+    return sent.select("request_key", "job_id", "status", "path", "error_kind")
+
+
+def _at_once(seconds: float) -> None:
+    return None
+
+
 def clip_poll_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each camera's events as a log of polls, every event one poll."""
     said = F.when(F.col("wind_state") == "purchase", "done").when(F.col("wind_state") == "", "error").otherwise("pending")
@@ -115,10 +152,26 @@ def segments_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.last_n(segment_parse(spark, sf_dir), 50).select("idx", "start_ms", "end_ms", "duration_ms", "path")
 
 
+def _week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_parse(spark, sf_dir).where((F.col("start_ms") >= BASE_MS + 10 * 24 * HOUR) & (F.col("end_ms") < BASE_MS + 17 * 24 * HOUR))
+
+
 def event_vs_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against the horizon of a week in the middle, so that all four answers occur."""
-    week = segment_parse(spark, sf_dir).where((F.col("start_ms") >= BASE_MS + 10 * 24 * HOUR) & (F.col("end_ms") < BASE_MS + 17 * 24 * HOUR))
-    return segments.classify_events(events(spark, sf_dir), week).select("cam_id", "start_ms", "stop_ms", "classification")
+    """All events against the horizon of a week in the middle: against that of the whole log only one answer would occur."""
+    return segments.classify_events(events(spark, sf_dir), _week(spark, sf_dir)).select("cam_id", "start_ms", "stop_ms", "classification")
+
+
+def segment_horizon_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.horizon(segment_parse(spark, sf_dir), ("cam_id",))
+
+
+def segments_last_n_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.last_n(segment_parse(spark, sf_dir), 5, ("cam_id",)).select("cam_id", "idx", "start_ms", "end_ms", "duration_ms", "path")
+
+
+def event_vs_camera_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event against its own camera's horizon of the same week; null for a camera that recorded nothing in it."""
+    return segments.classify_events(events(spark, sf_dir), _week(spark, sf_dir), keys=("cam_id",)).select("cam_id", "start_ms", "stop_ms", "classification")
 
 
 def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +190,16 @@ QUERIES = {
         clip_request_normalize,
         clip_payload_json,
         clip_status_extract,
+        clip_job_ids,
+        clip_delivery,
         clip_poll_outcome,
         segment_parse,
         segment_horizon,
         segments_last_n,
+        segment_horizon_by_camera,
+        segments_last_n_by_camera,
         event_vs_horizon,
+        event_vs_camera_horizon,
         segment_overlap,
     )
 }
@@ -153,6 +211,17 @@ _WINDOWS = events_sql(f"cam_id, start_ms, stop_ms, {_START} AS clip_start_ms, {_
 _ALL_SEGMENTS = f"WITH {FRAMES_SQL}, {SEGMENTS_SQL} "
 _RESPONSE_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in RESPONSES) + "]"
 
+_AGAINST = (
+    events_sql("cam_id").replace("SELECT cam_id FROM found", "").rstrip()
+    + f""", {SEGMENTS_SQL}, horizon AS (
+  SELECT {{keys}}min(start_ms) AS a, max(end_ms) AS b FROM segments WHERE start_ms >= {BASE_MS + 240 * HOUR}::DOUBLE AND end_ms < {BASE_MS + 408 * HOUR}::DOUBLE /*group*/
+)
+SELECT cam_id, start_ms, stop_ms, CASE WHEN a IS NULL THEN NULL WHEN stop_ms < a THEN 'event is COMPLETELY BEFORE horizon by ' || printf('%.3f', a - stop_ms) || ' ms'
+  WHEN start_ms > b THEN 'event is COMPLETELY AFTER horizon by ' || printf('%.3f', start_ms - b) || ' ms'
+  WHEN start_ms >= a AND stop_ms <= b THEN 'event window is FULLY CONTAINED within horizon' ELSE 'event window PARTIALLY OVERLAPS horizon' END AS classification
+FROM found LEFT JOIN horizon {{on}}"""
+)
+
 ORACLE_SQL = {
     "clip_windows": _WINDOWS,
     "clip_requests_pts": events_sql(f"cam_id, {pts_sql(_START)} AS start_pts_ns, {pts_sql(_STOP)} AS stop_pts_ns, NULL::DOUBLE AS start_epoch_ms, NULL::DOUBLE AS stop_epoch_ms, {_REST}"),
@@ -169,20 +238,26 @@ FROM normal WHERE error IS NULL""",
          json_extract_string(r, '$.status') AS outer_status, json_type(r, '$.ok') = 'BOOLEAN' AND json_extract_string(r, '$.ok') = 'true' AS ok FROM given
 )
 SELECT frame_id, coalesce(inner_status, outer_status, CASE WHEN ok AND path IS NOT NULL THEN 'done' END, '') AS status, path FROM parts""",
-    "clip_poll_outcome": """WITH polls AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'pending' END AS status FROM events WHERE event_id % 3 = 0)
+    "clip_job_ids": f"""WITH given AS (SELECT event_id AS frame_id, [{', '.join("'" + x + "'" for x in ACCEPTED)}][CAST(event_id % {len(ACCEPTED)} AS INTEGER) + 1]::JSON AS r FROM events)
+SELECT frame_id, coalesce(nullif(json_extract_string(r, '$.id'), ''), nullif(json_extract_string(r, '$.clip_id'), '')) AS job_id FROM given""",
+    "clip_delivery": events_sql("cam_id").replace("SELECT cam_id FROM found", "").rstrip()
+    + f""", asked AS (SELECT cam_id || '|' || {pts_sql(_START)} || '|' || {pts_sql(_STOP)} AS request_key, {pts_sql(_START)} // 1000000000 AS job FROM found)
+SELECT request_key, CASE WHEN job % 5 > 1 THEN CAST(job AS VARCHAR) END AS job_id, CASE WHEN job % 5 > 1 THEN 'done' END AS status, CASE WHEN job % 5 > 1 THEN '/clips/' || job || '.mp4' END AS path,
+       CASE job % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'job' END AS error_kind FROM asked""",
+    "clip_poll_outcome": """WITH polls AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'pending' END AS status FROM events)
 SELECT job_id, arg_min(status, seq) FILTER (status <> 'pending') AS final_status, min(seq) FILTER (status <> 'pending') AS final_seq, count(*) AS polls FROM polls GROUP BY job_id""",
     "segment_parse": _ALL_SEGMENTS + "SELECT * FROM segments",
     "segment_horizon": _ALL_SEGMENTS + "SELECT min(start_ms) AS earliest_ms, max(end_ms) AS latest_ms, count(*) AS n_segments FROM segments",
     "segments_last_n": _ALL_SEGMENTS
     + "SELECT coalesce(CAST(index AS VARCHAR), '-') AS idx, start_ms, end_ms, duration_ms, path FROM segments ORDER BY start_ms DESC, coalesce(index, -1) DESC, path DESC LIMIT 50",
-    "event_vs_horizon": events_sql("cam_id, start_ms, stop_ms").replace("SELECT cam_id, start_ms, stop_ms FROM found", "").rstrip()
-    + f""", {SEGMENTS_SQL}, horizon AS (SELECT min(start_ms) AS a, max(end_ms) AS b FROM segments WHERE start_ms >= {BASE_MS + 240 * HOUR}::DOUBLE AND end_ms < {BASE_MS + 408 * HOUR}::DOUBLE)
-SELECT cam_id, start_ms, stop_ms, CASE WHEN stop_ms < a THEN 'event is COMPLETELY BEFORE horizon by ' || printf('%.3f', a - stop_ms) || ' ms'
-  WHEN start_ms > b THEN 'event is COMPLETELY AFTER horizon by ' || printf('%.3f', start_ms - b) || ' ms'
-  WHEN start_ms >= a AND stop_ms <= b THEN 'event window is FULLY CONTAINED within horizon' ELSE 'event window PARTIALLY OVERLAPS horizon' END AS classification
-FROM found CROSS JOIN horizon""",
+    "segment_horizon_by_camera": _ALL_SEGMENTS + "SELECT cam_id, min(start_ms) AS earliest_ms, max(end_ms) AS latest_ms, count(*) AS n_segments FROM segments GROUP BY cam_id",
+    "segments_last_n_by_camera": _ALL_SEGMENTS
+    + """SELECT cam_id, coalesce(CAST(index AS VARCHAR), '-') AS idx, start_ms, end_ms, duration_ms, path FROM segments
+QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY start_ms DESC, coalesce(index, -1) DESC, path DESC) <= 5""",
+    "event_vs_horizon": _AGAINST.replace("{keys}", "").replace("{on}", "ON TRUE"),
+    "event_vs_camera_horizon": _AGAINST.replace("{keys}", "cam_id, ").replace("{on}", "USING (cam_id)").replace("/*group*/", "GROUP BY cam_id"),
     "segment_overlap": events_sql("cam_id").replace("SELECT cam_id FROM found", "").rstrip()
-    + f""", {SEGMENTS_SQL}, windows AS (SELECT cam_id, {_START} AS clip_start_ms, {_STOP} AS clip_stop_ms FROM found WHERE cam_id % 10 = 0)
+    + f""", {SEGMENTS_SQL}, windows AS (SELECT cam_id, {_START} AS clip_start_ms, {_STOP} AS clip_stop_ms FROM found)
 SELECT w.cam_id, clip_start_ms, clip_stop_ms, count(*) AS n_segments, min(s.start_ms) AS first_ms, max(s.end_ms) AS last_ms
-FROM windows w JOIN segments s ON s.start_ms < clip_stop_ms AND s.end_ms > clip_start_ms GROUP BY 1, 2, 3""",
+FROM windows w JOIN segments s ON s.cam_id = w.cam_id AND s.start_ms < clip_stop_ms AND s.end_ms > clip_start_ms GROUP BY 1, 2, 3""",
 }
