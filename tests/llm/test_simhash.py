@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidewatch.llm import simhash
@@ -59,8 +60,27 @@ def test_components_over_crowded_shards(spark):
     fps = np.array(sorted(values), dtype=np.uint64)
     expected = dict(zip(fps.view(np.int64).tolist(), brute_components(fps).tolist()))
     rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps.view(np.int64))], "doc_id long, fp long")
-    for crowd in (4, 10_000):
-        assert {r["fp"]: r["least"] for r in simhash.groups(rows, crowd=crowd).collect()} == expected, crowd
+    # trees in their tasks; all of them sent; some sent and the rest dealt again and cut into chunks; none sent; more crowds than are looked at
+    for bounds in ({}, {"small": 0}, {"small": 4, "crowd": 4, "sent": 300}, {"small": 4, "crowd": 4, "sent": 0}, {"small": 2, "crowd": 4, "sent": 20}):
+        assert {r["fp"]: r["least"] for r in simhash.groups(rows, **bounds).collect()} == expected, bounds
+    with pytest.raises(ValueError):
+        simhash.groups(rows, radius=3)
+
+
+def test_sent_trees_find_every_link(spark):
+    """Recall of the broadcast trees: each link inside a shard, whichever task asks."""
+    rng = np.random.default_rng(8)
+    rows = {(int(s), int(rng.integers(0, 1 << 10)) << int(s)) for s in rng.integers(0, 5, 1500)}
+    found = simhash._searched(spark.createDataFrame(sorted(rows), "shard long, fp long"), 2).collect()
+    for shard in range(5):
+        fps = np.array(sorted(f for s, f in rows if s == shard), dtype=np.uint64)
+        label = {int(f): int(f) for f in fps}
+        root = lambda x: x if label[x] == x else root(label[x])
+        for r in found:
+            if r["a"] in label and r["b"] in label and bin(r["a"] ^ r["b"]).count("1") >= 0:
+                label[max(root(r["a"]), root(r["b"]))] = min(root(r["a"]), root(r["b"]))
+        expected = {int(f): int(fps[i]) for f, i in zip(fps, brute_components(fps))}
+        assert {f: min(g for g in label if root(g) == root(f)) for f in label} == expected
 
 
 def test_long_chain_of_components(spark):

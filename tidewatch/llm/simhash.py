@@ -1,15 +1,18 @@
-"""SimHash near-duplicate detection with sharded BK-trees.
+"""SimHash near-duplicate detection with sharded, broadcast BK-trees.
 
 Fingerprints: one bit per majority over the XXH64 of all 3-word shingles. Equal fingerprints collapse to
 one node before any search, so exact copies never meet in a group.
 
 Search: the 64 bits fall into four blocks of 16. Two fingerprints at distance 2 or less agree on at least
 two whole blocks, so each node goes to six shards, one for each pair of blocks, and every link lies inside
-a shard. A shard over ``crowd`` nodes is dealt again by the same rule over its 32 other bits (agreeing on
-two of four blocks of 8), which leaves at most 2**16 nodes a shard; one that is still crowded is cut into
-chunks, and each pair of chunks is searched as a shard. Inside a task, the shards are BK-trees: children
-keyed by the integer distance to their parent, grown level by level in numpy; a search follows only the
-edges within the radius. A shard reports one edge to a representative for each linked node, never all pairs.
+a shard. A shard is a BK-tree: children keyed by the integer distance to their parent, grown level by level in
+numpy; a search follows only the edges within the radius. Small shards are trees in the task that they fall to. Shards
+over ``small`` nodes, where near copies crowd, would hold that task up: their trees are broadcast, the largest shards
+first, up to ``SENT`` nodes altogether, and their nodes search them from all tasks. That bound does not grow with
+the corpus. What exceeds it goes an exact way without broadcast: a shard over ``crowd`` nodes is dealt again by the
+same rule over its 32 other bits (agreeing on two of four blocks of 8), which leaves at most 2**16 nodes a shard; one
+that is still crowded is cut into chunks, and each pair of chunks is searched as a shard. A task reports one edge to a
+representative for each linked node of a shard, never all pairs.
 
 Components: alternating large and small stars over those edges, each round a written table.
 """
@@ -30,7 +33,9 @@ from .common import drop_written, matched, table, unused, written
 from .textblocks import utf8
 
 RADIUS = 2
-CROWD = 512
+#: Nodes: of a shard that stays in one task; of one that is dealt again unless its tree is sent; of the largest tree that
+#: is sent; of all that are sent: 8 bytes and an edge of 16 each.
+SMALL, CROWD, TREE, SENT = 64, 512, 1 << 14, 1 << 18
 
 
 # --- fingerprints ------------------------------------------------------------------------------------
@@ -90,28 +95,48 @@ def _dealt(nodes: DataFrame, bits, width: int, prefix, *keep) -> DataFrame:
     return nodes.select(*keep, F.explode(F.array(*dealt)).alias("s")).select(*keep, "s.shard", "s.rest")
 
 
-def _crowded(dealt: DataFrame, crowd: int) -> DataFrame:
-    return dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-
-
-def sharded(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(shard, part, fp) such that any two nodes within the radius share a (shard, part), none of which has
-    far more than ``2 * crowd`` nodes."""
-    whole = F.lit(0).cast("long").alias("part")
-    first = _dealt(nodes, F.col("fp"), 16, F.lit(0).cast("long"), "fp")
-    hot = written(_crowded(first, crowd).select("shard"), "simhash-hot", 6 * nodes.count())
-    if hot.isEmpty():
-        return first.select("shard", whole, "fp")
-    cool = first.join(hot, "shard", "left_anti").select("shard", whole, "fp")
-    again = first.join(hot, "shard")
-    second = _dealt(again, F.col("rest"), 8, F.lit(1 << 62) + F.shiftleft(F.col("shard"), 19), "fp")
-    hot2 = _crowded(second, crowd)
-    fine = second.join(hot2, "shard", "left_anti").select("shard", whole, "fp")
+def _spread_over(shards: DataFrame, crowd: int) -> DataFrame:
+    """(shard, part, fp) of shards over ``crowd`` nodes: dealt again by their other bits, and cut into chunks if still crowded."""
+    second = _dealt(shards, F.col("rest"), 8, F.lit(1 << 62) + F.shiftleft(F.col("shard"), 19), "fp")
+    hot = second.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    fine = second.join(hot, "shard", "left_anti").select("shard", F.lit(0).cast("long").alias("part"), "fp")
     chunks = F.ceil(F.col("n") / crowd).cast("long")
     own = F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.shiftleft(F.least(own, j), 20) + F.greatest(own, j))
-    cut = second.join(hot2, "shard").select("shard", F.explode(pairs).alias("part"), "fp")
-    return cool.unionByName(fine).unionByName(cut)
+    return fine.unionByName(second.join(hot, "shard").select("shard", F.explode(pairs).alias("part"), "fp"))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL, crowd: int = CROWD, tree: int = TREE, sent: int = SENT) -> DataFrame:
+    """(a, b): edges that connect all ``nodes`` (distinct fp) which links of ``radius`` or less connect, and no others."""
+    if not 0 <= radius <= 2:
+        raise ValueError("two of four blocks agree up to a radius of 2 only")
+    dealt = _dealt(nodes, F.col("fp"), 16, F.lit(0).cast("long"), "fp")
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > small)
+    most = sent // (small + 1)  # shards that can be sent; one more tells whether there are others
+    top = [tuple(r) for r in sizes.orderBy(F.desc("n"), "shard").limit(most + 1).collect()]
+    chosen, left = [], sent
+    for shard, n in top:
+        if n <= min(tree, left):
+            chosen.append(shard)
+            left -= n
+    here = dealt
+    if chosen:
+        some = nodes.sparkSession.createDataFrame([(x,) for x in chosen], "shard long")
+        here = dealt.join(F.broadcast(some), "shard", "left_anti")
+    known = set(chosen)
+    rest = [(x,) for x, n in top if n > crowd and x not in known]
+    again = None
+    if len(top) > most:  # more than were looked at: the others by a join
+        over = sizes.where(F.col("n") > crowd).select("shard")
+        again, here = here.join(over, "shard"), here.join(over, "shard", "left_anti")
+    elif rest:
+        over = F.broadcast(nodes.sparkSession.createDataFrame(rest, "shard long"))
+        again, here = here.join(over, "shard"), here.join(over, "shard", "left_anti")
+    shards = here.select("shard", F.lit(0).cast("long").alias("part"), "fp")
+    if again is not None:
+        shards = shards.unionByName(_spread_over(again, crowd))
+    found = star_edges(shards, radius)
+    return found.unionByName(_searched(dealt.join(F.broadcast(some), "shard").select("shard", "fp"), radius)) if chosen else found
 
 
 # --- BK-trees ----------------------------------------------------------------------------------------
@@ -143,14 +168,15 @@ class BkForest:
         order = np.argsort(keys)
         self.key, self.child = keys[order], kids[order]
 
-    def links(self, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), j < i, of one group at distance ``radius`` or less; all searches go down together."""
-        reach = np.cumsum(self.size)
-        i, n = 0, len(self.values)
+    def links(self, radius: int, most: int = 1 << 21, asking: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), j < i, of one group at distance ``radius`` or less, i among ``asking`` or any; all searches go down together."""
+        asking = np.arange(len(self.values)) if asking is None else asking
+        reach = np.cumsum(self.size[asking])
+        i, n = 0, len(asking)
         while i < n:  # as many searches as can meet ``most`` nodes at once
             j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + most, "right")))
-            query = np.arange(i, j)
-            node = self.root[i:j]
+            query = asking[i:j]
+            node = self.root[query]
             while len(query):
                 d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
                 hit = (d <= radius) & (node < query)
@@ -180,6 +206,36 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _searched(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges as of ``star_edges``, of shards (shard, fp) whose trees fit a broadcast: every task searches for its own rows."""
+    held = rows.toArrow()
+    shard, fp = (held.column(i).to_numpy() for i in range(2))
+    order = np.lexsort((fp, shard))
+    group, values = shard[order], fp[order]
+    shared = rows.sparkSession.sparkContext.broadcast((group, values, BkForest(group, values)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, values, forest = shared.value
+        label = np.arange(len(values))
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for batch in batches:
+            shard, fp = (batch.column(i).to_numpy() for i in range(2))
+            asking = np.empty(len(fp), dtype=np.int64)
+            low = np.searchsorted(group, shard)
+            for x in np.unique(low).tolist():  # a row's place in its shard
+                own = low == x
+                end = starts[np.searchsorted(starts, x, "right")] if x < starts[-1] else len(values)
+                asking[own] = x + np.searchsorted(values[x:end], fp[own])
+            for a, b in forest.links(radius, asking=asking):
+                _joined(label, a, b)
+        linked = np.flatnonzero(label != np.arange(len(values)))
+        yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[label[linked]])], names=["a", "b"])
+
+    # nodes of one shard in all tasks: what a search costs, its own and the others', is dealt out evenly
+    tasks = max(1, min(len(values) // 256 + 1, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(tasks, "fp").mapInArrow(run, "a long, b long")
+
+
 def star_edges(shards: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): for each node linked in a shard, an edge to the shard's representative of its component."""
 
@@ -235,25 +291,25 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def groups(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+def groups(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, **bounds: int) -> DataFrame:
     """(fp, root, least): each distinct fingerprint, its component and the component's smallest key."""
     nodes = written(prints.groupBy("fp").agg(F.min(key).alias("own")), "simhash-nodes", prints.count())
-    roots = components(star_edges(sharded(nodes.select("fp"), crowd), radius), 6 * nodes.count())
+    roots = components(links(nodes.select("fp"), radius, **bounds), 6 * nodes.count())
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("own").alias("least"))
     return placed.join(least, "root").select("fp", "root", "least")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, **bounds: int) -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest key that the row's fingerprint reaches over links of ``radius`` or fewer
-    differing bits. Null and word-less texts have fingerprint zero and link like any other. Null keys are
+    component_id is the smallest key that the row's fingerprint reaches over links of ``radius`` (at most 2, else
+    ValueError) or fewer differing bits; ``bounds`` are those of ``links``, and change no result. Null and word-less texts have fingerprint zero and link like any other. Null keys are
     kept; they count for component_id only where a component has no other (it is null then). Repeated rows
     are all kept. An empty table gives an empty table. Only ``key`` and ``text`` are read.
     """
     prints = written(fingerprints(docs, text, key), "simhash-prints")
-    placed = prints.join(groups(prints, key, radius, crowd), "fp")
+    placed = prints.join(groups(prints, key, radius, **bounds), "fp")
     return placed.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
