@@ -14,8 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, packing, textblocks, token_scan, url_rules, weak_rules
-from tidewatch.llm.common import written
+from tidewatch.llm import common, mixing, packing, textblocks, token_scan, url_rules, weak_rules
+from tidewatch.llm.common import summed_before, written
 from tidewatch.llm.textblocks import blocks, utf8
 from tidewatch.scratch import scratch_path
 
@@ -60,8 +60,73 @@ def test_mix_query(spark, data):
     assert [tuple(r) for r in mixing.op8_curriculum_mix(spark, data).collect()] == [tuple(r) for r in found]
 
 
+def inverse_demand(knots, share):
+    """The time at which a schedule's integral reaches a share of it, by a fine grid."""
+    grid = np.linspace(0, 1, 200_001)
+    weight = np.interp(grid, [k[0] for k in knots], [k[1] for k in knots])
+    area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return float(np.interp(share, area / area[-1], grid))
+
+
+def test_mix_follows_the_schedules(spark, data):
+    """Brute force over the query's rows: each source's documents in order, pass after pass, against its demand."""
+    sources = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source").collect())
+    by_source = defaultdict(list)
+    for r in mixing.op8_curriculum_mix(spark, data).collect():
+        by_source[sources[r["doc_id"]]].append(r)
+    twice = 0
+    for rank, name in enumerate(sorted(by_source, key=lambda s: (s is None, s or ""))):
+        rows = [r for r in by_source[name] if r["size"]]
+        goal, total = round(rows[0]["target"]), rows[0]["source_size"]
+        # what no pass takes stands behind all that is taken; its order does not matter
+        rows.sort(key=lambda r: (r["position"] is None, r["position"] or 0))
+        before = 0
+        for r in rows:
+            words = [max(0, min(r["size"], goal - q * total - before)) for q in (0, 1)]
+            at = [inverse_demand(mixing.SCHEDULES[rank % 3], min(1, (q * total + before + w / 2) / r["target"])) for q, w in enumerate(words) if w]
+            assert r["taken"] == sum(words) and r["positions"] == pytest.approx(at, abs=1e-4)
+            assert (r["position"] or 0) == (at and r["positions"][0] or 0)
+            twice += len(at) == 2
+            before += r["size"]
+    assert twice
+
+
+def test_sources_share_as_the_list_does(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 40):
+        sizes = {None if i == 3 else f"s{i:02}" + "é" * (i % 2): int(rng.integers(0, 2000)) * (i % 7 > 0) for i in range(n)}
+        sized = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(sizes.items())], "doc_id long, source string, size long")
+        found = {None if r["source_none"] else r["plan_source"]: r for r in mixing.plan(sized, "source", "size", 1.5, 2.0).collect()}
+        names = sorted(sizes, key=lambda s: (s is None, s or ""))
+        goal = mixing.fill([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(n)])
+        for i, (name, target) in enumerate(zip(names, goal)):
+            assert (found[name]["source_rank"], found[name]["source_size"]) == (i, sizes[name]) and found[name]["target"] == pytest.approx(target)
+
+
+def test_sums_before_in_two_levels(spark):
+    rows = spark.createDataFrame([(k, i, i % 5 + k) for k in range(3) for i in range(0, 200, 1 + k)], "k long, i long, n long")
+    expected, total = {}, Counter()
+    for k, i, n in sorted(map(tuple, rows.collect())):
+        expected[k, i] = total[k]
+        total[k] += n
+    assert {(r["k"], r["i"]): r["b"] for r in summed_before(rows, ["k"], "i", "n", "b", bits=3).collect()} == expected
+
+
+def test_one_document_repeated_a_million_times(spark):
+    many = spark.range(1_000_000).selectExpr("7L as doc_id", "'hot' as source", "3L as size")
+    sized = written(many.unionByName(spark.createDataFrame([(1, "hot", 5), (2, "b", 40)], many.schema)), "test")
+    mixed = mixing.mixture(sized).groupBy("doc_id").agg(F.count("*"), F.sum("taken"), F.max("taken")).collect()
+    assert {r[0]: r[1] for r in mixed} == {1: 1, 2: 1, 7: 1_000_000}
+    assert all(r[3] <= 2 * {1: 5, 2: 40, 7: 3}[r[0]] for r in mixed)
+    packed = packing.placed(sized).groupBy("bin_id", "bin_size").agg(F.sum("length").alias("n"), F.count_distinct("bin_offset").alias("places"), F.count("*").alias("pieces")).collect()
+    assert sum(r["pieces"] for r in packed) == 1_000_002 and sum(r["n"] for r in packed) == 3_000_045
+    assert all(r["n"] <= r["bin_size"] and r["places"] == r["pieces"] for r in packed)
+
+
 def test_mix_of_odd_rows(spark, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(common, "SPAN_BITS", 1)
+    monkeypatch.setattr(common, "COPIES", 7)
     rows = [(i, ("hot", "b", None)[min(2, i % 5)], i % 7 * 3) for i in range(80)] + [(3, "hot", 9)] * 40 + [(None, "b", 5), (None, None, 0)]
     sized = written(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, size long, taken string"), "test")
     found = mixing.mixture(sized).collect()
@@ -150,6 +215,7 @@ def test_packing_query(spark, data):
 
 def test_packing_of_odd_rows(spark, odd, odd_rows, empty, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(common, "COPIES", 2)
     sizes = Counter()
     for r in odd_rows:
         sizes[r[0]] += len(WORD.findall(r[1] or ""))

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,8 +96,8 @@ def word_counts(docs: DataFrame, text: str = "text", name: str = "size", keep: l
 
 
 def matched(docs: DataFrame, decided: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``docs`` joined with ``decided``, which has one row for each null-safe key and the number ``count`` of
-    rows of ``docs`` that have it; of rows that are repeated, one is left."""
+    """``docs`` joined with ``decided``, which has rows for null-safe keys, each with the number ``count`` of rows of ``docs``
+    that have its key; of rows that are repeated, one is joined."""
 
     def by_keys(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys and c != count])
@@ -110,3 +110,52 @@ def matched(docs: DataFrame, decided: DataFrame, keys: list[str], count: str) ->
         return by_keys(docs, decided, "inner")
     few = by_keys(docs, repeated.select(*keys, count), "left_semi").dropDuplicates(keys)
     return by_keys(docs, decided.where(F.col(count) == 1), "inner").unionByName(by_keys(few, repeated, "inner"))
+
+
+#: Copies of a row that are made at a time, from one array.
+COPIES = 1 << 16
+
+
+def copied(rows: DataFrame, copies: str, name: str, keys: list[str], most: int, at_once: int | None = None) -> DataFrame:
+    """Each row as often as its column ``copies`` says, numbered from 0 in the column ``name``.
+
+    Copies are made in runs of ``at_once``. Where some row has more than that (``most``: the largest number) the runs
+    are dealt out by ``keys`` and run, so that one row that is repeated many times is no task of its own.
+    """
+    at_once = at_once or COPIES
+    (run,) = unused(rows, "copy_run")
+
+    def runs(x: DataFrame) -> DataFrame:
+        return x.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div {at_once}"))))
+
+    def out(x: DataFrame) -> DataFrame:
+        first = F.col(run) * at_once
+        return x.withColumn(name, F.explode(F.sequence(first, F.least(first + at_once, F.col(copies)) - 1))).drop(run)
+
+    if most <= at_once:
+        return out(rows.withColumn(run, F.lit(0).cast("long")))
+    many = runs(rows.where(F.col(copies) > at_once)).repartition(*[F.col(k) for k in keys], F.col(run))
+    return out(rows.where(F.col(copies) <= at_once).withColumn(run, F.lit(0).cast("long"))).unionByName(out(many))
+
+
+#: Rows of one key that a window over running totals sees at a time, about.
+SPAN_BITS = 12
+
+
+def summed_before(totals: DataFrame, keys: list[str], order: str, value: str, name: str, bits: int | None = None) -> DataFrame:
+    """``totals`` (one row for each ``keys`` and whole number ``order``; cheap to read twice) with the sum ``name`` of
+    ``value`` over the rows of the same keys before it in order.
+
+    In two levels, spans of 2**``bits`` of the order and the rows inside a span, so that a key with any number of rows is
+    in no task as a whole. Keys must not be null.
+    """
+    bits = SPAN_BITS if bits is None else bits
+    (span, own, before) = unused(totals, "span", "span_sum", "span_before")
+    rows = totals.withColumn(span, F.shiftright(order, bits))
+    spans = rows.groupBy(*keys, span).agg(F.sum(value).alias(own))
+    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, span, F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    # spans grow with the rows, so they are never broadcast
+    return rows.join(spans.hint("merge"), [*keys, span]).withColumn(name, F.col(name) + F.col(before)).drop(span, before)

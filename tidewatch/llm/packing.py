@@ -8,8 +8,8 @@ Several opening rules are packed, each bin is downsized to the least permitted l
 contents, and the rule whose bins then cost least is kept. The outcome is a table of runs (length, ranks -> bins,
 offsets) whose size depends on the capacities only; documents look up their rank in it.
 
-Ranks within a length: a count over hash buckets of about ``BUCKET_ROWS`` documents plus a row number inside
-each, so that a length that holds a third of all documents is not gathered in one task.
+Ranks within a length: a count over hash buckets of about ``BUCKET_ROWS`` documents, summed up in two levels, plus a row
+number inside each, so that a length that holds a third of all documents is not gathered in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tasks_for, word_counts, written
+from .common import copied, summed_before, table, tasks_for, word_counts, written
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -152,12 +152,12 @@ def placed(sized: DataFrame, key: str = "doc_id", size: str = "size", capacities
     pieces = pieces.join(spark.createDataFrame(bits, "length long, bits int"), "length")
     order = F.xxhash64(key, "piece", F.lit("packing"))
     pieces = pieces.withColumn("order", order).withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(order, 64 - bits)")).otherwise(F.lit(0).cast("long")))
-    totals = pieces.groupBy("length", "bucket").agg(F.sum("copies").alias("n"))
-    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    totals = written(pieces.groupBy("length", "bucket").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")), "pack-buckets")
+    most = totals.agg(F.max("most")).first()[0] or 1
+    bases = summed_before(totals.drop("most"), ["length"], "bucket", "n", "base").drop("n")
     inside = Window.partitionBy("length", "bucket").orderBy("order", key, "piece", size).rowsBetween(Window.unboundedPreceding, -1)
     ranked = pieces.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(bases.hint("merge"), ["length", "bucket"])
-    ranked = ranked.select(key, "piece", "length", F.explode(F.sequence(F.col("base") + F.col("ahead"), F.col("base") + F.col("ahead") + F.col("copies") - 1)).alias("rank"))
+    ranked = copied(ranked, "copies", "copy", [key, "piece"], most).withColumn("rank", F.col("base") + F.col("ahead") + F.col("copy"))
     return _looked_up(ranked.coalesce(tasks_for(sum(histogram.values()))), plan, key, top)
 
 

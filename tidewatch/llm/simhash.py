@@ -35,7 +35,7 @@ from .textblocks import utf8
 RADIUS = 2
 #: Nodes: of a shard that stays in one task; of one that is dealt again unless its tree is sent; of the largest tree that
 #: is sent; of all that are sent: 8 bytes and an edge of 16 each.
-SMALL, CROWD, TREE, SENT = 64, 512, 1 << 14, 1 << 18
+SMALL, CROWD, TREE, SENT = 8, 512, 1 << 14, 1 << 18
 
 
 # --- fingerprints ------------------------------------------------------------------------------------
