@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common, mixing, packing, textblocks, token_scan, url_rules, weak_rules
-from tidewatch.llm.common import summed_before, written
+from tidewatch.llm.common import carried, written
 from tidewatch.llm.textblocks import blocks, utf8
 from tidewatch.scratch import scratch_path
 
@@ -105,11 +105,12 @@ def test_sources_share_as_the_list_does(spark):
 
 def test_sums_before_in_two_levels(spark):
     rows = spark.createDataFrame([(k, i, i % 5 + k) for k in range(3) for i in range(0, 200, 1 + k)], "k long, i long, n long")
-    expected, total = {}, Counter()
+    expected, total, most = {}, Counter(), {}
     for k, i, n in sorted(map(tuple, rows.collect())):
-        expected[k, i] = total[k]
+        expected[k, i] = total[k], most.get(k)
         total[k] += n
-    assert {(r["k"], r["i"]): r["b"] for r in summed_before(rows, ["k"], "i", "n", "b", bits=3).collect()} == expected
+        most[k] = max(n, most.get(k, n))
+    assert {(r["k"], r["i"]): (r["b"], r["m"]) for r in carried(rows, ["k"], "i", {"b": ("sum", "n"), "m": ("max", "n")}, bits=3).collect()} == expected
 
 
 def test_one_document_repeated_a_million_times(spark):
@@ -254,6 +255,31 @@ def test_separators_across_blocks(spark, tmp_path):
             assert found.get(name, []) == expected, block
 
 
+def test_one_file_of_many_blocks(spark, tmp_path, monkeypatch):
+    """Summaries go through two levels; separators don't go through the window."""
+    monkeypatch.setattr(common, "SPAN_BITS", 2)
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 40, 20_000).astype("<u2")
+    tokens[3000:9000] = 7  # a document of many blocks
+    (tmp_path / "x.bin").write_bytes(tokens.tobytes())
+    files = spark.createDataFrame([(f"file:{tmp_path}/x.bin", tokens.nbytes)], "file string, file_bytes long")
+    lengths = token_scan.document_lengths(files, end=0, block_bytes=128)
+    found = [(r["ordinal"], r["start"], r["n_tokens"]) for r in lengths.orderBy("ordinal").collect()]
+    ends = np.append(np.flatnonzero(tokens == 0), len(tokens))
+    starts = np.append(0, ends[:-1] + 1)
+    expected = [(i, a, b - a) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())) if i < len(ends) - 1 or b > a]
+    assert found == expected
+    plan = lengths._jdf.queryExecution().optimizedPlan().toString()
+    assert all("ends#" not in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_stores_of_paths():
+    assert token_scan.store_of("/a/b")[1] == token_scan.store_of("file:///a/b")[1] == token_scan.store_of("file:/a/b")[1] == "/a/b"
+    assert type(token_scan.store_of("s3a://bucket/x?region=us-east-1")[0]).__name__ == "S3FileSystem"
+    with pytest.raises(ValueError, match="can't be kept"):
+        token_scan.store_of("nowhere://a/b")
+
+
 def test_odd_file_size_raises(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="no whole number"):

@@ -142,20 +142,27 @@ def copied(rows: DataFrame, copies: str, name: str, keys: list[str], most: int,
 SPAN_BITS = 12
 
 
-def summed_before(totals: DataFrame, keys: list[str], order: str, value: str, name: str, bits: int | None = None) -> DataFrame:
-    """``totals`` (one row for each ``keys`` and whole number ``order``; cheap to read twice) with the sum ``name`` of
-    ``value`` over the rows of the same keys before it in order.
+def carried(totals: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, str]], bits: int | None = None) -> DataFrame:
+    """``totals`` (one row for each ``keys`` and whole number ``order``; cheap to read twice) with, for each name of ``values``,
+    the ``sum`` or ``max`` of a column over the rows of the same keys before it in order: name -> (which, column). Of no
+    rows, a sum is 0 and a maximum null.
 
     In two levels, spans of 2**``bits`` of the order and the rows inside a span, so that a key with any number of rows is
     in no task as a whole. Keys must not be null.
     """
     bits = SPAN_BITS if bits is None else bits
-    (span, own, before) = unused(totals, "span", "span_sum", "span_before")
+    (span, *own) = unused(totals, "span", *[f"span_{n}" for n in values])
+    how = {"sum": F.sum, "max": F.max}
     rows = totals.withColumn(span, F.shiftright(order, bits))
-    spans = rows.groupBy(*keys, span).agg(F.sum(value).alias(own))
+    spans = rows.groupBy(*keys, span).agg(*[how[kind](column).alias(o) for o, (kind, column) in zip(own, values.values())])
     earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(*keys, span, F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias(before))
+    spans = spans.select(*keys, span, *[how[kind](o).over(earlier).alias(o) for o, (kind, _) in zip(own, values.values())])
     inside = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    for name, (kind, column) in values.items():
+        rows = rows.withColumn(name, how[kind](column).over(inside))
     # spans grow with the rows, so they are never broadcast
-    return rows.join(spans.hint("merge"), [*keys, span]).withColumn(name, F.col(name) + F.col(before)).drop(span, before)
+    rows = rows.join(spans.hint("merge"), [*keys, span])
+    for o, (name, (kind, _)) in zip(own, values.items()):
+        zero = F.lit(0)
+        rows = rows.withColumn(name, F.coalesce(name, zero) + F.coalesce(o, zero) if kind == "sum" else F.greatest(name, o))
+    return rows.drop(span, *own)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import copied, matched, summed_before, table, tasks_for, unused, word_counts, written
+from .common import carried, copied, matched, table, tasks_for, unused, word_counts, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: (time, factor) knots for each of the repeating weights: heavy sources early, light ones late.
@@ -137,7 +137,7 @@ def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str
     rows = written(rows, "mix-rows")
     totals = written(rows.groupBy(text, none, "bucket").agg(F.sum("words").alias("in_bucket"), F.max("copies").alias("most")), "mix-buckets")
     most = totals.agg(F.max("most")).first()[0] or 1
-    bases = summed_before(totals.drop("most"), [text, none], "bucket", "in_bucket", "base").drop("in_bucket").join(plans, [text, none])
+    bases = carried(totals.drop("most"), [text, none], "bucket", {"base": ("sum", "in_bucket")}).drop("in_bucket").join(plans, [text, none])
     inside = Window.partitionBy(text, none, "bucket").orderBy("order", key, size, *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     # bases grow with the documents, so they are never broadcast; the windows' partitioning serves the join too

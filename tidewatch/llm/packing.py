@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import copied, summed_before, table, tasks_for, word_counts, written
+from .common import carried, copied, table, tasks_for, word_counts, written
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -154,7 +154,7 @@ def placed(sized: DataFrame, key: str = "doc_id", size: str = "size", capacities
     pieces = pieces.withColumn("order", order).withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(order, 64 - bits)")).otherwise(F.lit(0).cast("long")))
     totals = written(pieces.groupBy("length", "bucket").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")), "pack-buckets")
     most = totals.agg(F.max("most")).first()[0] or 1
-    bases = summed_before(totals.drop("most"), ["length"], "bucket", "n", "base").drop("n")
+    bases = carried(totals.drop("most"), ["length"], "bucket", {"base": ("sum", "n")}).drop("n")
     inside = Window.partitionBy("length", "bucket").orderBy("order", key, "piece", size).rowsBetween(Window.unboundedPreceding, -1)
     ranked = pieces.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(bases.hint("merge"), ["length", "bucket"])
     ranked = copied(ranked, "copies", "copy", [key, "piece"], most).withColumn("rank", F.col("base") + F.col("ahead") + F.col("copy"))

@@ -2,8 +2,9 @@
 
 A flat file is nothing but token identifiers of a fixed width, each document's followed by the
 end-of-document identifier. Files are read in blocks; inside a block numpy finds all separators at once. A
-document that crosses blocks is stitched by a prefix scan over the blocks' summaries (how many separators,
-where the last one stands), which are few: no block is read twice and no file has to fit a task.
+document that crosses blocks is stitched by a prefix scan, in two levels, over the blocks' summaries (how many
+separators, where the last one stands), and only then meets the separators of its block: no block is read
+twice, and neither a file nor its separators have to fit a task.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import scratch_path
-from .common import table, written
+from .common import carried, table, written
 from .textblocks import utf8
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file, unless the session sets ``SETTING``.
+TOKENIZER, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.tidewatch.tokenizer"
 #: Fixed value: how this vocabulary cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A free identifier of that vocabulary.
@@ -40,27 +42,45 @@ def encoder(vocabulary: bytes):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Schemes that Hadoop's file systems have and Arrow knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system, and the place in it, of a path as Spark writes it: a URI or a plain local path."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"token files can't be kept at {path}: {e}") from e
+
+
 def _opened(path: str, write: bool = False):
-    store, place = fs.FileSystem.from_uri(path)
+    store, place = store_of(path)
     return store.open_output_stream(place) if write else store.open_input_file(place)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, text: str = "text", key: str = "doc_id", end: int = END) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", end: int = END) -> DataFrame:
     """Writes ``docs`` as flat uint16 files into ``folder``, one for each partition.
 
     Returns (key, file, ordinal, file_bytes on a file's last row). A file is named for its attempt, so a task
     that runs again writes another one, and only files that the returned rows name count: keep these rows
-    (``written``) before using them. Null texts are documents without tokens.
+    (``written``) before using them. Null texts are documents without tokens. tokenizer: a vocabulary file; else that
+    of the session's setting ``SETTING``, or ``TOKENIZER``.
     """
     spark = docs.sparkSession
-    with _opened(tokenizer if "://" in tokenizer else f"file://{tokenizer}") as f:
+    with _opened(tokenizer or spark.conf.get(SETTING, TOKENIZER)) as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary.value).encode_ordinary
         name = f"{folder}/tokens-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.bin"
         ordinal, size, last = 0, 0, None
-        store, place = fs.FileSystem.from_uri(folder)
+        store, place = store_of(folder)
         store.create_dir(place, recursive=True)
         with _opened(name, True) as out:
             for batch in batches:
@@ -118,16 +138,11 @@ def document_lengths(files: DataFrame, end: int = END, dtype: str = "<u2", block
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     schema = T.StructType.fromJson(T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in ("file", "block", "file_tokens", "found", "last")]).jsonValue())
     schema.add("ends", T.ArrayType(T.LongType()))
-    blocks = cut.repartition("file", "block").mapInArrow(scan, schema)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = blocks.select(
-        "file",
-        "ends",
-        "file_tokens",
-        F.coalesce(F.sum("found").over(earlier), F.lit(0)).alias("base"),
-        F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("previous"),
-        F.coalesce("last", F.max("last").over(earlier), F.lit(-1)).alias("latest"),
-    )
+    blocks = written(cut.repartition("file", "block").mapInArrow(scan, schema), "token-blocks")
+    before = carried(blocks.select("file", "block", "found", "last"), ["file"], "block", {"base": ("sum", "found"), "previous": ("max", "last")})
+    # both have a row for each block: they grow with the files
+    stitched = blocks.select("file", "block", "file_tokens", "ends").join(before.hint("merge"), ["file", "block"])
+    stitched = stitched.select("file", "ends", "file_tokens", "base", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("last", "previous", F.lit(-1)).alias("latest"))
     start = F.when(F.col("at") == 0, F.col("previous")).otherwise(F.expr("ends[greatest(at - 1, 0)]")) + 1
     ended = stitched.select("file", "ends", "base", "previous", F.posexplode("ends").alias("at", "stop"))
     ended = ended.select("file", (F.col("base") + F.col("at")).alias("ordinal"), start.alias("start"), "stop", F.lit(True).alias("terminated"))
