@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tidewatch.llm import langid, quality_mil, textblocks, toxicity
-from tidewatch.llm.common import unused, word_counts, written
+from tidewatch.llm.common import bounded, unused, word_counts, written
 from tidewatch.llm.textblocks import Words, blocks, utf8
 
 from .conftest import prose
@@ -92,6 +92,28 @@ def test_language_of_odd_rows(spark, odd, odd_rows, empty):
     assert langid.stage(spark, odd, "").columns == odd.columns
 
 
+def test_bytes_that_are_no_utf8():
+    """A count of characters that fits what was decoded, for texts that end or begin within a character too."""
+    texts = [b"ab\xff\x80cd", b"the man \xc3", b"\xa9 und das", b"", b"\xed\xa0\x80 x", "daß".encode()]
+    column = pa.array(texts, pa.binary())
+    clean = pa.array([t.decode("utf-8", "replace") for t in texts])
+    for order in range(len(langid.ORDERS)):
+        (a, x), (b, y) = (list(langid._columns(*utf8(c), 12))[order] for c in (column, clean))
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+
+
+def test_language_stage_on_odd_rows(spark, odd, odd_rows, empty):
+    model = langid.train(langid.learnable(odd))
+    kept = Counter((r["doc_id"], r["text"]) for r in langid.stage(spark, odd, "").collect())
+    expected = Counter()
+    for row in odd_rows:
+        best, score = langid.score_block(model, *utf8(pa.array([row[1]], pa.string())))
+        if best[0] >= 0 and score[0] >= 0.5:
+            expected[row[0], row[1]] += 1
+    assert kept == expected and (5, "Two words") in kept and kept[5, "Two words"] == 3
+    assert langid.stage(spark, empty, "").count() == 0 and langid.stage(spark, odd.drop("lang").withColumn("lang", odd["text"].substr(0, 0)).where("false"), "").count() == 0
+
+
 def test_language_is_right_on_held_out_rows(spark, data):
     truth = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect())
     found = langid.op5_langid(spark, data).collect()
@@ -149,6 +171,57 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, empty):
     assert len({round(r["score"], 6) for r in quality_mil.score(odd, alike).collect()}) == 1
 
 
+def brute_score(model, text):
+    """A second forward pass, passage by passage and in plain loops."""
+    p = {k: np.asarray(v, dtype=float) for k, v in model.weights.items()}
+    x, _ = quality_mil.passages(*utf8(pa.array([text], pa.string())))
+    hidden, energy = [], []
+    for row in x:
+        z = [max(-8.0, min(8.0, (float(a) - m) / s)) for a, m, s in zip(row, p["mean"], p["scale"])]
+        h = [math.tanh(sum(z[i] * p["W"][i, j] for i in range(len(z))) + p["b"][j]) for j in range(len(p["b"]))]
+        gates = range(len(p["w"]))
+        v = [math.tanh(sum(h[j] * p["V"][j, g] for j in range(len(h)))) for g in gates]
+        u = [1 / (1 + math.exp(-sum(h[j] * p["U"][j, g] for j in range(len(h))))) for g in gates]
+        hidden.append(h)
+        energy.append(sum(p["w"][g] * v[g] * u[g] for g in gates))
+    attention = [math.exp(e - max(energy)) for e in energy]
+    mixed = [sum(a * h[j] for a, h in zip(attention, hidden)) / sum(attention) for j in range(len(p["c"]))]
+    return 1 / (1 + math.exp(-sum(c * m for c, m in zip(p["c"], mixed)) - float(p["c0"])))
+
+
+def test_scores_equal_a_second_forward_pass(spark, odd, odd_rows):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8, 20)], "doc_id long, quality int")
+    model = quality_mil.train(odd, labels)
+    found = sorted((r["text"] or "", r["score"]) for r in quality_mil.score(odd, model).collect() if len(r["text"] or "") < 10_000)
+    expected = sorted((r[1] or "", brute_score(model, r[1])) for r in odd_rows if len(r[1] or "") < 10_000)
+    assert [t for t, _ in found] == [t for t, _ in expected] and [s for _, s in found] == pytest.approx([s for _, s in expected], abs=1e-4)
+
+
+def test_quality_stage_on_odd_rows(spark, odd, odd_rows, empty, tmp_path):
+    labels = spark.createDataFrame([(i, int(i < 14)) for i in range(8, 20)] * 2 + [(None, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality_mil.train(odd, quality_mil.learnable(labels))
+    scores = {r["text"]: r["score"] for r in quality_mil.score(odd, model).collect()}
+    kept = quality_mil.stage(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns
+    assert Counter(r["text"] for r in kept.collect()) == Counter(r[1] for r in odd_rows if scores[r[1]] >= 0.3)
+    assert 0 < sum(s >= 0.3 for s in scores.values()) < len(scores)
+    assert quality_mil.stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """A key with very many labels, documents and bytes brings no more than the bounds."""
+    docs = spark.range(4000).selectExpr("id % 3 as doc_id", "concat('w', id % 50, repeat(' x', 300)) as text")
+    labels = spark.range(3000).selectExpr("id % 3 as doc_id", "cast(id % 2 as int) as label")
+    joined = written(docs.join(labels.distinct(), "doc_id").select("doc_id", "label", docs["text"].cast("binary").alias("data")), "test")
+    kept = bounded(joined, "label", "data", 20, 1 << 30).groupBy("label").count().collect()
+    assert sorted(tuple(r) for r in kept) == [(0, 20), (1, 20)]
+    few = bounded(joined, "label", "data", 1000, 3000).selectExpr("label", "octet_length(data) as n").groupBy("label").sum("n").collect()
+    assert all(600 <= r[1] <= 3000 for r in few) and len(few) == 2
+    model = quality_mil.train(docs, labels.withColumnRenamed("label", "quality"), rows_per_class=2)
+    assert quality_mil.score(docs, model).count() == 4000
+
+
 def test_quality_on_held_out_rows(spark, data):
     wanted = "/root/testdata/sf0.01"
     truth = dict(spark.read.parquet(f"{wanted}/labels.parquet").select("doc_id", "quality").collect())
@@ -186,6 +259,36 @@ def test_ordinal_model_orders_severity():
     assert none.sum() < one.sum() < many.sum() and none[0] < 0.5 < one[0] and all(p[0] >= p[1] for p in (one, many, none))
 
 
+def test_gradients_of_the_ordinal_likelihood():
+    rng = np.random.default_rng(3)
+    w, low, gap = rng.normal(0, 1, 5), 0.3, -0.4
+    doc, column = np.repeat(np.arange(12), 2), rng.integers(0, 5, 24)
+    grade, share = rng.integers(0, 3, 12), rng.random(12)
+    _, by_weight, by_low, by_gap = toxicity.likelihood(w, low, gap, column, doc, grade, share)
+    at = lambda w=w, low=low, gap=gap: toxicity.likelihood(w, low, gap, column, doc, grade, share)[0]
+    step = 1e-6
+    for k in range(5):
+        e = np.eye(5)[k] * step
+        assert by_weight[k] == pytest.approx((at(w=w + e) - at(w=w - e)) / (2 * step), rel=1e-4, abs=1e-7)
+    assert by_low == pytest.approx((at(low=low + step) - at(low=low - step)) / (2 * step), rel=1e-4)
+    assert by_gap == pytest.approx((at(gap=gap + step) - at(gap=gap - step)) / (2 * step), rel=1e-4)
+
+
+def test_grades_equal_a_second_computation(spark, data):
+    """The query's rows, from its model, word by word."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = dict(docs.select("doc_id", "text").collect())
+    low, high = model.thresholds.tolist()
+    for r in toxicity.op7_ordinal_toxicity(spark, data).collect():
+        column, _ = toxicity.word_columns(*utf8(pa.array([texts[r["doc_id"]]], pa.string())))
+        f = sum(float(model.weights[c]) for c in set(column.tolist()))
+        above = [1 / (1 + math.exp(t - f)) for t in (low, high)]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert (r["score"], r["severity"]) == pytest.approx((above[0], sum(above)), abs=1e-5)
+        assert r["toxic"] == (r["score"] >= 0.5) and each[r["grade"]] == pytest.approx(max(each), abs=1e-6)
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(12, 1), (13, 0), (14, 0), (None, 1), (15, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)

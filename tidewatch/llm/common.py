@@ -81,6 +81,26 @@ def share_below(limit: float, *columns):
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 24)) < most
 
 
+def bounded(sample: DataFrame, label: str, data: str, rows: int, size: int) -> DataFrame:
+    """Of ``sample`` (columns whose values make a hash, cheap to read twice) at most ``rows`` rows and ``size`` bytes of the
+    column ``data`` for each of few values of ``label``, in order of a hash, so that reruns agree. A row that is larger than
+    what is left is passed over. Repeated rows count once."""
+    (mark,) = unused(sample, "mark")
+    marked = sample.withColumn(mark, F.xxhash64(*sample.columns))
+    seen = marked.select(label, mark, F.octet_length(data).alias("n")).distinct()
+    place = F.row_number().over(Window.partitionBy(label).orderBy(mark))
+    first = seen.withColumn("place", place).where(F.col("place") <= 4 * rows).drop("place")  # numbers alone; at most 4 * rows a label
+    left: dict = {}
+    chosen = []
+    for k, m, n in sorted(map(tuple, first.collect())):
+        have = left.setdefault(k, [rows, size])
+        if have[0] > 0 and n <= have[1]:
+            have[0], have[1] = have[0] - 1, have[1] - n
+            chosen.append((m,))
+    picked = sample.sparkSession.createDataFrame(chosen, f"{mark} long")
+    return marked.join(F.broadcast(picked), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+
+
 def word_counts(docs: DataFrame, text: str = "text", name: str = "size", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or just its columns ``keep``) with the number of words of each whole text; null: 0."""
     place, kept = docs.columns.index(text), passed_on(docs, keep, name)

@@ -60,12 +60,27 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _valid(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+    """The block as valid UTF-8, where its texts start, and as a string. What is no UTF-8 becomes U+FFFD, text by text."""
+    raw = flat.tobytes()
+    begins = at[:-1][at[:-1] < at[1:]]
+    try:
+        if not ((flat[begins] & 0xC0) == 0x80).any():  # else a text could end the character that the one before began
+            return flat, at, raw.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist())]
+    parts = [x.encode("utf-8") for x in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), "".join(texts)
+
+
 def _columns(flat: np.ndarray, at: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the column of every n-gram of the block, and where each document's n-grams start.
 
     The last column, 2**bits, is that of n-grams without a letter or across two documents.
     """
-    text = _letters()[np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)]
+    flat, at, decoded = _valid(flat, at)
+    text = _letters()[np.frombuffer(decoded.encode("utf-32-le"), np.uint32)]
     chars = np.zeros(len(flat) + 1, dtype=np.int64)
     np.cumsum((flat & 0xC0) != 0x80, out=chars[1:])
     where = chars[at]
@@ -199,7 +214,8 @@ def identify(
 
     A text that is null or has no letter gets ``und`` and score 0; ties go to the language first by code
     point. The score is the posterior of the winner with the evidence tempered to ``model.temper`` n-grams,
-    so that long texts do not all saturate. Repeated rows get equal answers; other columns pass through, and
+    so that long texts do not all saturate. Bytes that are no UTF-8 count as U+FFFD, which is no letter. An empty table
+    stays empty. Repeated rows get equal answers; other columns pass through, and
     columns of the same names as the new ones are replaced.
     """
     spark = docs.sparkSession
@@ -238,7 +254,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents of no known language, or whose language is a toss-up."""
+    """Pipeline stage: rejects documents of no known language, or whose language is a toss-up (score below 0.5).
+
+    Null, empty and letterless texts have no known language and go. Bytes that are no UTF-8 count as U+FFFD. Repeated rows
+    stay or go together, ties in score go to the language first by code point, and columns of any name pass through. An
+    empty table stays empty; without any labelled row no language is known, and all documents go.
+    """
     model = train(learnable(docs))
     pred, score = unused(docs, "lang_pred", "lang_score")
     scored = identify(docs, model, lang_col=pred, score_col=score)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, passed_on, share_below, table, unused
+from .common import bounded, crc_mod, drop_written, passed_on, share_below, table, unused, written
 from .textblocks import Words, blocks
 
 PASSAGE = 64
@@ -179,19 +179,19 @@ def fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, hidden: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows_per_class: int = 2500) -> MilModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows_per_class: int = 2500, bytes_per_class: int = 64 << 20) -> MilModel:
     """Learns from labelled rows (labels 0 and 1; others and nulls are ignored).
 
-    Bound: about ``rows_per_class`` labelled rows of each class, picked by a hash of the key; each counts
-    by the share of its class that was picked, so that scores stay calibrated.
+    Bounds: about ``rows_per_class`` labelled keys of each class, picked by a hash of the key, at most 1.25 times as many
+    documents, and ``bytes_per_class`` of their passages' features, however often a key or a document comes. Each document
+    counts by the share of its class that was taken, so that scores stay calibrated.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label")).distinct()
     found = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picked, rates = F.lit(False), {}
+    picked = F.lit(False)
     for k, n in found.items():
-        rates[k] = min(1.0, rows_per_class / n)
-        picked = picked | ((F.col("label") == k) & share_below(rates[k], F.col(key), F.lit("mil")))
-    few = known.where(picked)  # bounded by rows_per_class, hence small enough to broadcast
+        picked = picked | ((F.col("label") == k) & share_below(min(1.0, rows_per_class / n), F.col(key), F.lit("mil")))
+    few = known.where(picked)  # a row for each of about rows_per_class keys, hence small enough to broadcast
     sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(few), key).select(key, "label", text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +199,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             bags: list[bytes] = []
             for _, _, flat, at in blocks(batch.column(2)):
                 x, where = passages(flat, at)
-                bags += [x[a:b].astype(np.float16).tobytes() for a, b in zip(where, where[1:])]
+                bags += [x[a:b].tobytes() for a, b in zip(where, where[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=[key, "label", "bag"])
 
     schema = T.StructType([sample.schema[key], T.StructField("label", T.IntegerType()), T.StructField("bag", T.BinaryType())])
-    got = sample.mapInArrow(encode, schema).toPandas().sort_values([key, "label", "bag"])
-    bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]]
-    y = got["label"].to_numpy(dtype=float)
-    return fit(bags, y, np.array([1 / rates[int(k)] for k in y]))
+    kept = written(sample.mapInArrow(encode, schema), "mil-bags")
+    got = bounded(kept, "label", "bag", rows_per_class * 5 // 4, bytes_per_class).toPandas().sort_values([key, "label", "bag"])
+    drop_written(kept)
+    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"]]
+    y, taken = got["label"].to_numpy(dtype=float), got["label"].value_counts()
+    return fit(bags, y, np.array([found[int(k)] / taken[int(k)] for k in y]))
 
 
 def score(docs: DataFrame, model: MilModel, text: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -246,7 +248,12 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents that score below 0.3."""
+    """Pipeline stage: rejects documents that score below 0.3.
+
+    Null and word-less texts are one empty passage, and go if that scores below. Every passage of a long text counts.
+    Repeated rows stay or go together; columns of any name pass through. An empty table stays empty; without labels of
+    both kinds every document has the same score, the smoothed share of label 1 (0.5 without any label), and stays.
+    """
     model = train(docs, learnable(table(spark, sf_dir, "labels")))
     (name,) = unused(docs, "quality_score")
     return score(docs, model, score_col=name).where(F.col(name) >= 0.3).select(*[F.col(f"`{c}`") for c in docs.columns])

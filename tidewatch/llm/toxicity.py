@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import passed_on, share_below, table
+from .common import bounded, drop_written, passed_on, share_below, table, written
 from .textblocks import Words, blocks
 
 BITS = 20
@@ -105,6 +105,22 @@ def grades(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, telling: np
     return np.where(toxic == 0, 0, np.where(hits > np.median(hits[toxic == 1]), 2, 1))
 
 
+def likelihood(w: np.ndarray, low: float, gap: float, column: np.ndarray, doc: np.ndarray, grade: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+    """The weighted log-likelihood of grades 0, 1, 2 under weights ``w`` and thresholds low and low + exp(gap), and its
+    gradients by w, low and gap. ``column`` and ``doc``: which weight counts in which document."""
+    f = np.bincount(doc, weights=w[column], minlength=len(grade))
+    ends = np.array([low, low + np.exp(gap)])
+    upto = 1 / (1 + np.exp(np.clip(f[:, None] - ends, -500, 500)))  # P(grade <= k)
+    full = np.column_stack([np.zeros(len(f)), upto, np.ones(len(f))])
+    slope = np.column_stack([np.zeros(len(f)), upto * (1 - upto), np.zeros(len(f))])
+    rows = np.arange(len(f))
+    p = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
+    up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
+    by_end = [(share * (up * (grade == k) - down * (grade == k + 1))).sum() for k in (0, 1)]
+    by_weight = np.bincount(column, weights=(share * (down - up))[doc], minlength=len(w))
+    return float((share * np.log(p)).sum()), by_weight, sum(by_end), by_end[1] * np.exp(gap)
+
+
 def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.ndarray, bits: int = BITS, steps: int = 300, rate: float = 0.3, ridge: float = 2e-4) -> OrdinalModel:
     """Gradient ascent with per-weight rates (AdaGrad) on the weighted likelihood of the grades.
 
@@ -122,21 +138,12 @@ def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.nda
     keep = telling[column]
     column, doc = index[column[keep]], doc[keep]
     n = int(index[-1]) + 1
-    w, low, gap = np.zeros(n), 1.0, 0.0  # thresholds: low, low + exp(gap)
+    w, low, gap = np.zeros(n), 1.0, 0.0
     share = weight / weight.sum()
     squares = [np.full(n, 1e-8), 1e-8, 1e-8]
     for _ in range(steps):
-        f = np.bincount(doc, weights=w[column], minlength=len(toxic))
-        ends = np.array([low, low + np.exp(gap)])
-        upto = 1 / (1 + np.exp(np.clip(f[:, None] - ends, -500, 500)))  # P(grade <= k)
-        full = np.column_stack([np.zeros(len(f)), upto, np.ones(len(f))])
-        slope = np.column_stack([np.zeros(len(f)), upto * (1 - upto), np.zeros(len(f))])
-        rows = np.arange(len(f))
-        p = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
-        up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
-        df = share * (down - up)
-        ends_gradient = [(share * (up * (grade == k) - down * (grade == k + 1))).sum() for k in (0, 1)]
-        g = [np.bincount(column, weights=df[doc], minlength=n) - ridge * w / n**0.5, sum(ends_gradient), ends_gradient[1] * np.exp(gap)]
+        _, by_weight, by_low, by_gap = likelihood(w, low, gap, column, doc, grade, share)
+        g = [by_weight - ridge * w / n**0.5, by_low, by_gap]
         squares = [s + x**2 for s, x in zip(squares, g)]
         w = w + rate * g[0] / np.sqrt(squares[0])
         low, gap = low + rate * g[1] / np.sqrt(squares[1]), gap + rate * g[2] / np.sqrt(squares[2])
@@ -144,6 +151,42 @@ def fit(column: np.ndarray, where: np.ndarray, toxic: np.ndarray, weight: np.nda
     return OrdinalModel(weights, np.array([low, low + np.exp(gap)]))
 
 
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_class: int = 3000, bytes_per_class: int = 64 << 20, bits: int = BITS) -> OrdinalModel:
+    """Learns from labelled rows (labels 0 and 1; others and nulls are ignored).
+
+    Bounds: about ``rows_per_class`` labelled keys of each class, picked by a hash of the key, at most 1.25 times as many
+    documents, and ``bytes_per_class`` of their words, however often a key or a document comes. The copies among them are
+    left out; the others of a class share its whole weight.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label")).distinct()
+    found = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    picked = F.lit(False)
+    for k, n in found.items():
+        picked = picked | ((F.col("label") == k) & share_below(min(1.0, rows_per_class / n), F.col(key), F.lit("toxicity")))
+    # a row for each of about rows_per_class keys
+    sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(known.where(picked)), key).select(key, "label", text)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[bytes] = []
+            for _, _, flat, at in blocks(batch.column(2)):
+                column, where = word_columns(flat, at, bits)
+                sets += [column[a:b].astype(np.int32).tobytes() for a, b in zip(where, where[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=[key, "label", "words"])
+
+    schema = T.StructType([sample.schema[key], T.StructField("label", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    kept = written(sample.mapInArrow(encode, schema), "toxicity-words")
+    got = bounded(kept, "label", "words", rows_per_class * 5 // 4, bytes_per_class).toPandas().sort_values([key, "label", "words"])
+    drop_written(kept)
+    sets = [np.frombuffer(b, np.int32) for b in got["words"]]
+    own = unlike(sets, got["label"].tolist())
+    sets, got = [sets[i] for i in own], got.iloc[own]
+    left = got["label"].value_counts()
+    where = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    toxic = got["label"].to_numpy(dtype=float)
+    return fit(np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int64), where, toxic, np.array([found[int(k)] / left[int(k)] for k in toxic]), bits)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_class: int = 3000, bits: int = BITS) -> OrdinalModel:
     """Learns from labelled rows (labels 0 and 1; others and nulls are ignored); about ``rows_per_class`` of each,
     picked by a hash of the key. The copies among them are left out; the others of a class share its whole weight."""
