@@ -181,3 +181,14 @@ def test_query(spark, data):
 
 def test_all_profiles_of_production_occur():
     assert {media.PROFILES[zlib.crc32(bytes([a, b])) % len(media.PROFILES)] for a, b in product(range(16), range(16))} == set(media.PROFILES)
+
+
+def test_large_tile_images_end_exactly():
+    """Tile images of over 512 tiles are read several literals at a time, and more data follow them."""
+    rng = np.random.default_rng(0)
+    for extra in range(4):
+        image = rng.integers(0, 256, (4 * (19 + extra), 4 * 27, 4), dtype=np.uint8)
+        image[..., 3] = 255
+        modes = tuple(int(x) for x in rng.integers(0, 14, 900))
+        for profile in (webp.Profile(predictor_tile=2, modes=modes), webp.Profile(predictor_tile=2, modes=modes, cross=(2, 3, 5, 7), subtract_green=True)):
+            assert (webp.decode(webp.encode(image, profile)) == image).all()

@@ -303,10 +303,11 @@ def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
 
 
 def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.ndarray:
-    """Without a cache: literals go two at a time through a wider table.
+    """Without a cache: literals go up to eight at a time.
 
-    Numpy looks up the table at every bit; the loop only hops from bit to bit, and numpy lays out what stands
-    where it has been.
+    Numpy looks up at every bit how far the next one or two literals reach, and adds these hops up twice; the loop only
+    hops from bit to bit, and numpy lays out what stands where it has been, and on the way. Where that is more than
+    the image holds, the last literal tells where the data go on.
     """
     wide, lengths, symbols, double = codes[0].pairs()
     table, short, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, np.uint32((1 << wide) - 1), codes[4]
@@ -314,14 +315,17 @@ def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.nd
     while len(out) < total:
         first = bits.at >> 3
         n = min(_CHUNK, len(bits.data) - 8 - first)
-        if n <= 8 or bits.at > bits.end + wide:
+        if n <= 8 + wide // 2 or bits.at > bits.end:
             raise WebpError("the data end too early")
         raw = np.ndarray((n, 1), "<u4", bits.data, first, (1, 4))
         index = (raw >> each & mask).astype(np.uint16).ravel()  # the table's place at every bit
-        hop = lengths[index].tobytes()
+        one = lengths[index]
+        last = n * 8 - 64
+        bit = np.arange(last, dtype=np.int32)
+        hop = (one[:last] + one[bit + one[:last]]).tobytes()
         base = first * 8
-        p, last = bits.at - base, n * 8 - 64
-        while (steps := min(-(-(total - len(out)) // 2), (last - p) // wide)) > 0:
+        p, last = bits.at - base, len(hop) - 1
+        while len(out) < total and (steps := min((total - len(out)) // 3 + 4, (last - p) // (2 * wide))) > 0:
             found = array("I")
             append, back = found.append, False
             for _ in range(steps):
@@ -332,21 +336,32 @@ def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.nd
                 else:
                     back = True
                     break
-            at = index[np.frombuffer(found, np.uint32)]
+            stops = np.empty((len(found), 2), dtype=np.int64)  # of each hop, the two that it is made of
+            stops[:, 0] = np.frombuffer(found, np.uint32)
+            stops[:, 1] = stops[:, 0] + one[stops[:, 0]]
+            stops = stops[one[stops] > 0]
+            at = index[stops]
             both = np.ones((len(at), 2), dtype=bool)
             both[:, 1] = double[at]
+            left = total - len(out)
+            if 2 * len(at) >= left:  # the image may end here
+                upto = np.cumsum(both.sum(1))
+                if len(at) and upto[-1] >= left:
+                    k = int(np.searchsorted(upto, left))
+                    whole = upto[k] == left
+                    p = int(stops[k]) + (int(one[stops[k]]) if whole else table[int(at[k]) & short] & 15)
+                    out += symbols[at[: k + 1]][both[: k + 1]].tobytes()[:left]
+                    break
             out += symbols[at][both].tobytes()
-            if back and len(out) < total:
+            if back:
                 e = table[int(index[p]) & short]
                 bits.at = base + p + (e & 15)
                 length = _value(bits, (e >> 4) - 256)
                 code = _value(bits, bits.symbol(distances))
                 _copy(out, code - 120 if code > 120 else near[code - 1], length)
                 p = bits.at - base
-            elif back:
-                break
         bits.at = base + p
-    if bits.at > bits.end + wide:  # the last pair may reach beyond the last pixel
+    if bits.at > bits.end:
         raise WebpError("the data end too early")
     return np.frombuffer(bytes(out[:total]), np.uint8)
 
