@@ -8,7 +8,6 @@ inverted on whole rows where their predictors allow it.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from array import array
 from dataclasses import dataclass
@@ -161,8 +160,9 @@ def _read_code(bits: _Bits, alphabet: int) -> Code:
         lengths[symbols] = 1
         return Code(lengths)
     own = np.zeros(19, dtype=np.int64)
-    for i in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[i]] = bits.read(3)
+    given = 4 + bits.read(4)
+    packed = bits.read(3 * given)
+    own[list(CODE_LENGTH_ORDER[:given])] = [packed >> 3 * i & 7 for i in range(given)]
     code = Code(own)
     left = alphabet
     if bits.read(1):
@@ -630,6 +630,10 @@ class _Out:
         return out.tobytes()[: (int(end[-1]) + 7) >> 3]
 
 
+#: More than any frequency.
+_HEAVY = 1 << 62
+
+
 def _lengths(frequency: np.ndarray, limit: int) -> np.ndarray:
     """Huffman code lengths of at most ``limit`` bits; rare symbols count more until the code is flat enough."""
     used = np.flatnonzero(frequency)
@@ -639,19 +643,28 @@ def _lengths(frequency: np.ndarray, limit: int) -> np.ndarray:
         return out
     n, weight = len(used), frequency[used]
     while True:
-        heap = [(w, i) for i, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent = [0] * (2 * n - 1)
-        for node in range(n, 2 * n - 1):
-            w1, i = heapq.heappop(heap)
-            w2, j = heap[0]
-            parent[i] = parent[j] = node
-            heapq.heapreplace(heap, (w1 + w2, node))
-        depth = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[:n]) <= limit:
-            out[used] = depth[:n]
+        # sorted leaves and the nodes made of them, which come in order too: the lightest two are at their heads
+        order = np.argsort(weight, kind="stable")
+        leaves, made, parent = [*weight[order].tolist(), _HEAVY, _HEAVY], [_HEAVY] * (n + 1), [0] * (2 * n - 1)
+        i = j = 0
+        for node in range(n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaves[i] <= made[j]:
+                    total += leaves[i]
+                    parent[i] = node
+                    i += 1
+                else:
+                    total += made[j]
+                    parent[n + j] = node
+                    j += 1
+            made[node] = total
+        depth = [0] * (n - 1)
+        for node in range(n - 3, -1, -1):
+            depth[node] = depth[parent[n + node]] + 1
+        size = np.array(depth)[parent[:n]] + 1
+        if size.max() <= limit:
+            out[used[order]] = size
             return out
         weight = (weight + 1) // 2 + weight.sum() // (1 << (limit + 1))
 
