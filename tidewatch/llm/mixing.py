@@ -31,7 +31,7 @@ SCHEDULES = (
 )
 SHARE = 1.5
 LIMIT = 2.0
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 @dataclass(frozen=True)
 class Demand:
     """Cumulative share of a schedule, as segments (u0, u1, t0, t1, w0, w1) with linear weight between t0 and t1."""
