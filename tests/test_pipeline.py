@@ -90,6 +90,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "s")).first()["stop_ms"] == 900.0
 
 
+def test_reader_report_by_command(spark, tmp_path, capsys):
+    rows = [("c", i, 100.0 * i, True, i == 2, i != 2, 10.0 * i, '{"encoder_fps": 15, "latest-frame-id": 9}') for i in range(5)]
+    spark.createDataFrame(rows, "cam_id string, frame_id long, pts_ms double, enqueued boolean, dropped boolean, emitted boolean, loop_us double, stats string").write.parquet(str(tmp_path / "r"))
+    assert cli.main(["reader-report", "--reads", str(tmp_path / "r"), "--seconds", "2", "--now-ms", "1000"]) == 0
+    said = capsys.readouterr().out
+    assert "c: in=5 out=4 (~2.00 fps) drops=1 last_age_ms=600.0" in said and "mean=20 p95=38" in said and "encoder_fps=15" in said and "lag_fids=5" in said
+
+
 def test_observed_frames_report(spark):
     seen = Observation("reader")
     rows = spark.createDataFrame([("c", 10.0), ("c", 30.0)], "cam_id string, pts_ms double")

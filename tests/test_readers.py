@@ -42,6 +42,41 @@ def test_ring_dumps(spark, tmp_path):
     assert struct.calcsize("<IHBBHHIQQII") == ring.HEADER.size == 40
 
 
+def test_dumps_that_arrive_are_a_stream(spark, tmp_path):
+    short = ring.HEADER.pack(ring.MAGIC, 1, 0, 0, 2, 200, 8, 99, 0, 16, 0) + bytes(16)  # fewer bytes than its rows need
+    for k in range(3):
+        (tmp_path / f"{k}.bin").write_bytes(slot(10 * k) + slot(10 * k + 1, magic=5) + short)
+    frames_ = files.ring_stream(spark, str(tmp_path), len(slot(0)), base_epoch_ms=5000.0, base_pts_ns=1e9, slurp=1)
+    query = frames_.writeStream.format("memory").queryName("dumps").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 2  # two files at a time
+    found = spark.table("dumps").orderBy("frame_id").collect()
+    assert [(r["frame_id"], r["slot_no"], r["pts_ms"]) for r in found] == [(10 * k, 0, 5000.0 + 10 * k / 1e6) for k in range(3)]
+    assert bytes(found[0]["img"]) == bytes(x for i in range(4) for x in (4 * i, 4 * i + 1, 4 * i + 2))
+
+
+def test_torn_reads_are_tried_again_once(spark):
+    reads = [("r", 0, 1, 5, 5), ("r", 0, 2, 6, 6), ("r", 1, 1, 5, 6), ("r", 1, 2, 7, 7), ("r", 2, 1, 5, 6), ("r", 2, 2, 7, 8), ("r", 2, 3, 9, 9), ("r", 3, 1, None, None)]
+    found = ring.untorn(spark.createDataFrame(reads, "ring_id string, poll long, attempt int, frame_id long, frame_id_after long")).orderBy("poll").collect()
+    assert [(r["poll"], r["attempt"], r["frame_id"]) for r in found] == [(0, 1, 5), (1, 2, 7)]
+
+
+def test_log_lines(spark, tmp_path):
+    lines = ["one", "", "zwei ü", "three\x0bfour", "five\u2028six"]
+    (tmp_path / "a.log").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "b.log").write_bytes(b"\xff\xfe" + "\n".join(lines).encode("utf-16-le"))
+    (tmp_path / "c.log").write_bytes(b"bad \xff byte\rlast")
+    expected = ["five", "four", "one", "six", "three", "zwei ü"]
+    by_file = {}
+    for r in files.read_log_lines(spark, str(tmp_path)).selectExpr("path", "cast(line as binary) as line").collect():
+        by_file.setdefault(r["path"][-5:], []).append(bytes(r["line"]).decode("utf-8", "replace"))
+    assert sorted(by_file["a.log"]) == sorted(by_file["b.log"]) == expected
+    assert sorted(by_file["c.log"]) == ["bad \ufffd byte", "last"]
+    assert files.read_log_lines(spark, str(tmp_path / "b.log"), "utf-16").count() == 6
+    with pytest.raises(Exception, match="(?i)not.exist|path_not_found"):
+        files.read_log_lines(spark, str(tmp_path / "none.log")).count()
+
+
 @pytest.mark.parametrize(("fmt", "each", "turned"), [("BGR", 3, False), ("bgrx", 4, False), ("RGB", 3, True), ("RGBA", 4, True), ("", 3, False)])
 def test_pixels(fmt, each, turned):
     rows = np.arange(2 * (3 * each + 2), dtype=np.uint8).reshape(2, -1)

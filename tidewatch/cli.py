@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidewatch.cli horizon | events | sync-report``."""
+"""Command line: ``python -m tidewatch.cli horizon | events | reader-report | sync-report``."""
 
 from __future__ import annotations
 
@@ -24,6 +24,10 @@ def _parser() -> argparse.ArgumentParser:
     defaults = EventConfig()
     for name in ("score_on", "score_off", "min_event_ms", "min_gap_ms", "merge_gap_ms"):
         events.add_argument("--" + name.replace("_", "-"), type=float, default=getattr(defaults, name))
+    reader = commands.add_parser("reader-report", help="how each camera's reader did: counters, rate, ages, loop timings")
+    reader.add_argument("--reads", required=True, help="parquet: cam_id, frame_id, pts_ms, enqueued, dropped, emitted, loop_us, and stats if the producer told any")
+    reader.add_argument("--seconds", type=float, required=True)
+    reader.add_argument("--now-ms", type=float)
     report = commands.add_parser("sync-report", help="a sample synchronisation report")
     report.add_argument("-o", "--output")
     return parser
@@ -66,12 +70,32 @@ def _events(args: argparse.Namespace) -> int:
     return 0
 
 
+def _reader_report(args: argparse.Namespace) -> int:
+    from pyspark.sql import functions as F
+
+    from .functions.timebase import now_ms
+    from .operators.stats import reader_report
+    from .sources.files import parse_producer_stats
+
+    reads = _session().read.parquet(args.reads)
+    told = parse_producer_stats(F.col("stats")) if "stats" in reads.columns else None
+    now = F.lit(args.now_ms) if args.now_ms is not None else now_ms()
+    for r in reader_report(reads, F.lit(args.seconds), now, told).orderBy("cam_id").toLocalIterator():
+        print(f"{r['cam_id']}: in={r['frames_in']} out={r['frames_out']} (~{r['fps']:.2f} fps) drops={r['drops']} last_age_ms={r['last_age_ms']:.1f}")
+        print(f"  read_loop_us mean={r['loop_us_mean']:.0f} p95={r['loop_us_p95']:.0f}")
+        if told is not None:
+            print(f"  producer encoder_fps={r['encoder_fps']} segments={r['segment_count']} last_segment={r['last_segment']} latest_id={r['latest_id']} lag_fids={r['lag_fids']}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "horizon":
         return _horizon(args)
     if args.command == "events":
         return _events(args)
+    if args.command == "reader-report":
+        return _reader_report(args)
     text = sync_report(datetime.now(timezone.utc).isoformat().replace("+00:00", "Z"))
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
