@@ -103,6 +103,63 @@ def test_opening_removes_specks_and_keeps_areas():
     assert frames.opened(mask, 1) is mask
 
 
+class OnePixel:
+    """The mixture for one pixel, mode by mode."""
+
+    def __init__(self, cfg, modes=5):
+        self.cfg, self.n, self.modes, self.seen = cfg, modes, [], 0
+
+    def apply(self, x):
+        self.seen += 1
+        rate = 1 / min(2 * self.seen, self.cfg.fg_history)
+        limit, before, background, shadow, taken = self.cfg.fg_var_threshold, 0.0, False, False, None
+        for k, (w, mean, var) in enumerate(self.modes):
+            far = sum((m - v) ** 2 for m, v in zip(mean, x))
+            if before < 0.9:
+                background |= far < limit * var
+                a = sum(m * v for m, v in zip(mean, x)) / max(1e-6, sum(m * m for m in mean))
+                shadow |= 0.5 <= a <= 1 and sum((a * m - v) ** 2 for m, v in zip(mean, x)) < limit * var * a * a
+            if taken is None and far < 9 * var:
+                taken = k
+            before += w
+        left = []
+        for k, (w, mean, var) in enumerate(self.modes):
+            w = (1 - rate) * w - rate * 0.05 + rate * (k == taken)
+            if k == taken:
+                far = sum((m - v) ** 2 for m, v in zip(mean, x))
+                mean, var = [m - rate / w * (m - v) for m, v in zip(mean, x)], min(75.0, max(4.0, var + rate / w * (far - var)))
+            if k == taken or w >= rate * 0.05:
+                left.append([w, mean, var])
+        total = sum(w for w, *_ in left)
+        left = [[w / total, mean, var] for w, mean, var in left]
+        if taken is None:
+            left = left[: self.n - 1] if len(left) == self.n else left
+            others = sum(w for w, *_ in left)
+            left = [[w * (1 - rate) / others, mean, var] for w, mean, var in left] + [[rate if left else 1.0, list(x), 15.0]]
+        self.modes = sorted(left, key=lambda m: -m[0])
+        return 0 if background else 127 if shadow and self.cfg.detect_shadows else 255
+
+
+def test_mixture_equals_one_pixel_at_a_time():
+    rng = np.random.default_rng(2)
+    cfg = MotionConfig(fg_history=20)
+    model, alone = frames.Mixture(cfg), [OnePixel(cfg) for _ in range(6)]
+    seen = set()
+    for i in range(120):
+        image = np.clip(np.array([[[90, 120, 60]] * 3, [[20, 200, 200]] * 3]) + rng.normal(0, 2, (2, 3, 3)), 0, 255)
+        image = image * (0.7 if i % 30 == 29 else 1)  # a shadow over all
+        if i % 17 > 13:
+            image[0, :] = [240, 10, 10]  # something passes
+        if i % 2:
+            image[1, 2] = [10, 10, 240]  # a pixel that flickers has two backgrounds
+        image = image.astype(np.uint8)
+        found = model.apply(image)
+        assert found.ravel().tolist() == [a.apply(v.tolist()) for a, v in zip(alone, image.reshape(-1, 3).astype(float))], i
+        seen |= set(found.ravel().tolist())
+    assert seen == {0, 127, 255}
+    assert model.apply(np.zeros((4, 4, 3), np.uint8)).tolist() == [[255] * 4] * 4  # another size starts anew
+
+
 def test_motion_counts_with_a_model_and_without(spark):
     def image(on):
         x = np.zeros((16, 16, 3), np.uint8)
