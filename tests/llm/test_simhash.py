@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import simhash
+from tidewatch.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -123,3 +123,21 @@ def test_stage_keeps_one_row_of_each_component(spark, odd, odd_rows, empty):
     order = lambda x: (x is None, x)
     assert sorted((r["doc_id"] for r in found), key=order) == sorted(smallest, key=order)
     assert simhash.stage(spark, empty, "").count() == 0
+
+
+def test_filter_of_keys_loses_none(spark, monkeypatch):
+    """No key is taken for another's absence; a full filter doubts everything, and the stage stays the same."""
+    keys = spark.range(0, 20_000, 7).selectExpr("xxhash64(id) as h")
+    every = spark.range(20_000).selectExpr("id", "xxhash64(id) as h")
+    for bits, most in ((27, 0.05), (8, 1.0)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        held = common.key_filter(keys, keys.count())
+        doubted = {r["id"] for r in every.where(common.in_filter(spark, held)("h")).collect()}
+        assert doubted >= set(range(0, 20_000, 7)) and len(doubted) <= 20_000 / 7 + most * 20_000
+    assert not every.where(common.in_filter(spark, common.key_filter(keys.limit(0), 0))("h")).count()
+
+
+def test_stage_with_a_full_filter(spark, odd, odd_rows, empty, monkeypatch):
+    monkeypatch.setattr(common, "key_filter", lambda keys, count: np.full(1 << 4, (1 << 64) - 1, dtype=np.uint64))
+    monkeypatch.setattr(simhash, "key_filter", common.key_filter)
+    test_stage_keeps_one_row_of_each_component(spark, odd, odd_rows, empty)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -186,3 +187,43 @@ def carried(totals: DataFrame, keys: list[str], order: str, values: dict[str, tu
         zero = F.lit(0)
         rows = rows.withColumn(name, F.coalesce(name, zero) + F.coalesce(o, zero) if kind == "sum" else F.greatest(name, o))
     return rows.drop(span, *own)
+
+
+#: A filter of keys has at most 2**FILTER_BITS bits (16 MiB), and about ten for each key up to there.
+FILTER_BITS = 27
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    h = h.view(np.uint64)
+    return ((h ^ h >> np.uint64(32)) * _ODD[:, None]) >> np.uint64(64 - bits)
+
+
+def key_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the 64-bit numbers in the only column of ``keys``, about ``count`` of them: bits in 64-bit words."""
+    bits = min(FILTER_BITS, max(10, (10 * count).bit_length()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(_places(batch.column(0).to_numpy(), bits))
+            word = place >> np.uint64(6)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+            ones = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(word) else word
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(ones.view(np.int64))], names=["word", "ones"])
+
+    found = keys.mapInArrow(marked, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()  # at most 2**21 rows
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(spark: SparkSession, held: np.ndarray):
+    """A column function: false for numbers that are surely not in the filter ``held``."""
+    shared, bits = spark.sparkContext.broadcast(held), len(held).bit_length() + 5  # at most 16 MiB
+
+    @F.pandas_udf("boolean")
+    def found(h: pd.Series) -> pd.Series:
+        place = _places(h.to_numpy(np.int64), bits)
+        return pd.Series((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).all(axis=0))
+
+    return found

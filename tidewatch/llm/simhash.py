@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, matched, table, unused, written
+from .common import drop_written, in_filter, key_filter, matched, table, unused, written
 from .textblocks import utf8
 
 RADIUS = 2
@@ -322,13 +322,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by doc_id and a hash of their text, so that null or repeated ids do no harm.
     """
-    (sign,) = unused(docs, "text_hash")
+    sign, mark = unused(docs, "text_hash", "key_hash")
     signed = docs.withColumn(sign, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     ids = signed.select(F.struct("doc_id", sign).alias("id"), "text")
     prints = written(fingerprints(ids, key="id"), "simhash-prints")
     # least() of structs puts a null doc_id first; a document with an id is preferred
     ordered = prints.select(F.struct(F.col("id.doc_id").isNull().alias("none"), F.col("id.doc_id").alias("doc_id"), F.col(f"id.{sign}").alias("sign")).alias("id"), "fp")
     placed = ordered.groupBy("id", "fp").agg(F.count("*").alias("n")).join(groups(ordered, "id"), "fp")
-    staying = placed.where(F.col("id") == F.col("least")).select(F.col("id.doc_id").alias("doc_id"), F.col("id.sign").alias(sign), "n")
-    kept = matched(signed, written(staying, "simhash-staying"), ["doc_id", sign], "n")
+    decided = placed.select(F.col("id.doc_id").alias("doc_id"), F.col("id.sign").alias(sign), "n", (F.col("id") == F.col("least")).alias("stays"))
+    decided = written(decided, "simhash-decided")
+    # Most rows stay and are not repeated: a filter of the keys of all others tells most of them, and their texts stay where
+    # they are. What it can't tell is joined, and so is everything once the filter is full.
+    hashed = F.xxhash64("doc_id", sign)
+    others = decided.where(~F.col("stays") | (F.col("n") > 1)).select(hashed.alias(mark))
+    doubted = in_filter(spark, key_filter(others, others.count()))
+    flagged = signed.withColumn(mark, doubted(hashed))
+    joined = matched(flagged.where(mark).drop(mark), decided.where("stays").drop("stays"), ["doc_id", sign], "n")
+    kept = flagged.where(~F.col(mark)).drop(mark).unionByName(joined)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
