@@ -189,7 +189,8 @@ def score_block(model: LangModel, flat: np.ndarray, at: np.ndarray, matrix: Call
     n = len(at) - 1
     if not model.languages or not len(flat):
         return np.full(n, -1), np.zeros(n)
-    orders, grams = list(_columns(flat, at, model.bits)), np.zeros(n, dtype=np.int64)
+    kind = np.int32 if model.bits < 31 else np.int64
+    orders, grams = [(column.astype(kind), where) for column, where in _columns(flat, at, model.bits)], np.zeros(n, dtype=np.int64)
     for column, where in orders:
         grams += sums(column < 1 << model.bits, where)
     temper = np.minimum(1.0, model.temper / np.maximum(grams, 1))[:, None]

@@ -8,8 +8,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at a time; a longer text is a block of its own.
-BLOCK = 1 << 20
+#: Bytes of text worked on at a time, few enough for what is made of them to stay in a processor's cache; a longer text
+#: is a block of its own.
+BLOCK = 1 << 17
 
 _M = (1 << 64) - 1
 
@@ -43,7 +44,7 @@ def powers(base: int, n: int) -> np.ndarray:
     size = BLOCK + 4096
     while size < n:
         size *= 2
-    return _powers(base, size)[:n] if size <= 4 * BLOCK else np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+    return _powers(base, size)[:n] if size <= 32 * BLOCK else np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

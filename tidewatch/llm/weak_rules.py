@@ -166,7 +166,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
     Every word and line of the whole text counts; equal ones are equal byte for byte. Null and empty texts have no
     words: all statistics are 0. Repeated rows get equal answers, and an empty table stays empty. Texts are worked on in
-    blocks of 1 MiB or one text, with some 100 bytes of memory for each byte of it.
+    blocks of 128 KiB or one text, with some 100 bytes of memory for each byte of it.
     """
     place, kept = docs.columns.index(text), passed_on(docs, keep, *STATS, "pattern")
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), *(T.StructField(x, T.LongType()) for x in (*STATS, "pattern"))])
