@@ -42,6 +42,12 @@ def test_ring_dumps(spark, tmp_path):
     assert struct.calcsize("<IHBBHHIQQII") == ring.HEADER.size == 40
 
 
+def test_dumps_of_many_rings_name_them(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(slot(1) + b"  7\n" + slot(2, magic=5) + b"  8\n" + slot(3) + b"gate" + slot(4) + bytes(4))
+    found = files.read_ring_dumps(spark, str(tmp_path), len(slot(0)) + 4, 4).orderBy("frame_id").collect()
+    assert [(r["slot_no"], r["frame_id"], r["ring"], bytes(r["payload"])) for r in found] == [(k, i, name, slot(0)[40:]) for k, i, name in ((0, 1, "7"), (2, 3, "gate"), (3, 4, ""))]
+
+
 def test_dumps_that_arrive_are_a_stream(spark, tmp_path):
     short = ring.HEADER.pack(ring.MAGIC, 1, 0, 0, 2, 200, 8, 99, 0, 16, 0) + bytes(16)  # fewer bytes than its rows need
     for k in range(3):

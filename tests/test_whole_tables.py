@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from tidewatch import scratch
 from tidewatch.operators import stats
 from tidewatch.plans import reader_queries, recorder_queries
 
@@ -69,3 +71,15 @@ def test_loop_windows_are_as_long_as_the_readers(spark, tmp_path, rows):
         for i in range(len(value)):
             last = np.minimum(1.0, value[max(0, i + 1 - (rows or window)) : i + 1] / 100) * 1000
             assert (found[i]["loop_us_mean"], found[i]["loop_us_p95"]) == pytest.approx((last.mean(), p95(last)), abs=2e-6)
+
+
+def test_dumps_of_many_cameras_take_few_files(spark, tmp_path):
+    """Not a folder for each; frames without a camera, time or number leave the others' slots where they are."""
+    rows = [((i * 5003) ** 3, i, datetime(2024, 1, 1) + timedelta(seconds=i), "view", 1.0) for i in range(1, 301)]
+    rows[10], rows[20], rows[30] = (None, *rows[10][1:]), (*rows[20][:2], None, *rows[20][3:]), (rows[30][0], None, *rows[30][2:])
+    folder, before = event_table(spark, tmp_path, rows), scratch.standing(spark)
+    found = {tuple(r) for r in reader_queries.ring_dump_scan(spark, folder).collect()}
+    start = 1_704_067_200
+    assert found == {(user, i, ts and (start + i) * 10**9, 2, 8, str(i).rjust(8, "x")) for user, i, ts, *_ in rows if i is not None and i % 9}
+    (path,) = scratch.standing(spark) - before
+    assert sum(p.suffix == ".txt" for p in Path(path.removeprefix("file://")).rglob("*")) <= 8

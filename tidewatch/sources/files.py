@@ -75,17 +75,24 @@ def parse_producer_stats(text: Column) -> Column:
     return F.when(clean == "", None).when(is_object, as_json).otherwise(F.coalesce(table, F.create_map(F.lit("raw"), clean)))
 
 
-def _slots(files: DataFrame, slot_bytes: int) -> DataFrame:
-    """Dumps (path, length, content) as slots: path, slot_no, header fields, payload."""
+def _slots(files: DataFrame, slot_bytes: int, name_bytes: int = 0) -> DataFrame:
+    """Dumps (path, length, content) as slots: path, slot_no, header fields, payload and, if slots end with one, ring."""
     numbers = F.explode(F.sequence(F.lit(0), (F.col("length") / slot_bytes).cast("int") - 1))
     slots = files.where(F.col("length") >= slot_bytes).select("path", "content", numbers.alias("slot_no"))
     slots = slots.select("path", "slot_no", F.expr(f"substring(content, slot_no * {slot_bytes} + 1, {slot_bytes})").alias("slot"))
-    return slot_headers(slots).withColumn("payload", F.expr("substring(slot, 41, cast(payload_len as int))")).drop("slot")
+    found = slot_headers(slots).withColumn("payload", F.expr("substring(slot, 41, cast(payload_len as int))"))
+    if name_bytes:
+        found = found.withColumn("ring", F.btrim(F.decode(F.expr(f"substring(slot, -{name_bytes}, {name_bytes})"), "UTF-8"), F.lit(" \n\0")))
+    return found.drop("slot")
 
 
-def read_ring_dumps(spark: SparkSession, path: str, slot_bytes: int) -> DataFrame:
-    """Dumped rings: path, slot_no, the slots' header fields and payload. Slots of another magic drop out."""
-    return _slots(spark.read.format("binaryFile").load(path), slot_bytes)
+def read_ring_dumps(spark: SparkSession, path: str, slot_bytes: int, name_bytes: int = 0) -> DataFrame:
+    """Dumped rings: path, slot_no, the slots' header fields and payload. Slots of another magic drop out.
+
+    ``name_bytes``: of dumps that hold many rings, the bytes at each slot's end that name its ring, padded by blanks, a line
+    end or zeros; they come as ``ring``.
+    """
+    return _slots(spark.read.format("binaryFile").load(path), slot_bytes, name_bytes)
 
 
 def ring_stream(spark: SparkSession, path: str, slot_bytes: int, base_epoch_ms: float = 0.0, base_pts_ns: float = 0.0, slurp: int = 8) -> DataFrame:
