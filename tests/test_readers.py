@@ -42,6 +42,14 @@ def test_ring_dumps(spark, tmp_path):
     assert struct.calcsize("<IHBBHHIQQII") == ring.HEADER.size == 40
 
 
+def test_headers_of_wide_images(spark):
+    heads = [ring.HEADER.pack(ring.MAGIC, 1, 0, 0, 3, 2, 8, i, 0, 0, word) for i, word in enumerate((0, 1, 0xFFFF0002))]
+    slots = spark.createDataFrame([(h,) for h in heads], "slot binary")
+    sizes = lambda **k: [(r["width"], r["height"]) for r in ring.slot_headers(slots, **k).orderBy("frame_id").collect()]
+    assert sizes() == [(3, 2)] * 3
+    assert sizes(wide=True) == [(3, 2), (65_539, 2), (131_075, 0xFFFF0002)]
+
+
 def test_dumps_of_many_rings_name_them(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(slot(1) + b"  7\n" + slot(2, magic=5) + b"  8\n" + slot(3) + b"gate" + slot(4) + bytes(4))
     found = files.read_ring_dumps(spark, str(tmp_path), len(slot(0)) + 4, 4).orderBy("frame_id").collect()

@@ -86,7 +86,7 @@ def test_dumps_of_many_cameras_take_few_files(spark, tmp_path):
     assert sum(p.suffix == ".txt" for p in Path(path.removeprefix("file://")).rglob("*")) <= 8
 
 
-@pytest.mark.parametrize("name", ["log_scan", "segment_parse", "segments_last_n", "segments_last_n_by_camera"])
+@pytest.mark.parametrize("name", ["log_scan", "segment_parse", "segments_last_n", "segments_last_n_by_camera", "ring_header_decode"])
 def test_large_camera_numbers_agree_with_sql(spark, tmp_path, name):
     cams = (3, 14, 9_999, 10_000, 10_003, 65_534, 65_535, 89_999, 1_000_006)
     rows = [(cam, 1000 * n + i, datetime(2024, 1, 5 + i // 2, cam % 11, n, i), "view", 1.0) for n, cam in enumerate(cams) for i in range(14)]

@@ -32,18 +32,22 @@ def slot_bytes(stride: Column, height: Column) -> Column:
 #: Header fields that a table keeps, with their place and type.
 FIELDS = np.dtype(
     {
-        "names": ["magic", "version", "fmt_code", "width", "height", "stride", "frame_id", "pts_ns", "payload_len"],
-        "formats": ["<u4", "<u2", "u1", "<u2", "<u2", "<u4", "<u8", "<u8", "<u4"],
-        "offsets": [0, 4, 6, 8, 10, 12, 16, 24, 32],
+        "names": ["magic", "version", "fmt_code", "width", "height", "stride", "frame_id", "pts_ns", "payload_len", "width_high", "height_high"],
+        "formats": ["<u4", "<u2", "u1", "<u2", "<u2", "<u4", "<u8", "<u8", "<u4", "<u2", "<u2"],
+        "offsets": [0, 4, 6, 8, 10, 12, 16, 24, 32, 36, 38],
         "itemsize": HEADER.size,
     }
 )
 
 
-def slot_headers(slots: DataFrame, data: str = "slot") -> DataFrame:
+def slot_headers(slots: DataFrame, data: str = "slot", wide: bool = False) -> DataFrame:
     """Adds the header's fields of binary slots, and keeps slots of the right magic and version. A batch of headers
-    is read as one structured array."""
-    kept = [n for n in FIELDS.names if n not in ("magic", "version")]
+    is read as one structured array.
+
+    wide: an extension of our own, for images of 65,536 pixels a side and more: the header's last word, which the layout
+    leaves unused, holds the high halves of width and height. Without it that word is not read.
+    """
+    kept = [n for n in FIELDS.names if n not in ("magic", "version", "width_high", "height_high")]
     schema = T.StructType([*slots.schema.fields, *(T.StructField(n, T.LongType()) for n in kept)])
     place, size = slots.columns.index(data), HEADER.size
 
@@ -52,7 +56,10 @@ def slot_headers(slots: DataFrame, data: str = "slot") -> DataFrame:
             heads = [b[:size] if b is not None and len(b) >= size else bytes(size) for b in batch.column(place).to_pylist()]
             found = np.frombuffer(b"".join(heads), FIELDS)
             good = pa.array((found["magic"] == MAGIC) & (found["version"] == VERSION))
-            columns = [*batch.columns, *(pa.array(found[n].astype(np.int64)) for n in kept)]
+            values = {n: found[n].astype(np.int64) for n in kept}
+            for n in ("width", "height") if wide else ():
+                values[n] |= found[f"{n}_high"].astype(np.int64) << 16
+            columns = [*batch.columns, *(pa.array(values[n]) for n in kept)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(good)
 
     return slots.mapInArrow(run, schema)
