@@ -97,3 +97,14 @@ def test_large_camera_numbers_agree_with_sql(spark, tmp_path, name):
     expected = duck.execute(f"select {', '.join(found.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert len(expected) >= 45
+
+
+def test_last_segments_come_in_the_order_of_their_sql(spark, tmp_path):
+    """Copies of cameras start together: index and path place them, also where there is no index."""
+    rows = [(cam + 1500 * k, 100 * k + i, datetime(2024, 1, 5 + i // 2, 3, cam, i), "view", 1.0) for k in range(30) for cam in (7, 8) for i in range(4)]
+    folder = event_table(spark, tmp_path, rows)
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    expected = duck.execute(catalog.ORACLE_SQL["segments_last_n"]).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["segments_last_n"](spark, folder).collect()] == expected
+    assert len(expected) == 50 and sum(r[0] == "-" for r in expected) > 2

@@ -26,6 +26,11 @@ def _order() -> list[Column]:
     return [F.col("start_ms"), F.coalesce("index", F.lit(-1))]
 
 
+def latest_first() -> list[Column]:
+    """The order from which the last n are taken."""
+    return [*[c.desc() for c in _order()], F.col("path").desc()]
+
+
 def ordered(segments: DataFrame) -> DataFrame:
     return segments.orderBy(*_order())
 
@@ -37,7 +42,7 @@ def horizon(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def last_n(segments: DataFrame, n: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
     """The last n (one at least) of all, or of each value of ``keys``, shown in ascending order; idx is the index or ``-``."""
-    back, n = [*[c.desc() for c in _order()], F.col("path").desc()], max(1, n)
+    back, n = latest_first(), max(1, n)
     if keys:
         # Spark drops rows beyond n before it exchanges them
         tail = segments.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*back))).where(F.col("_place") <= n).drop("_place")
