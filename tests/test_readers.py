@@ -240,6 +240,18 @@ def test_segments(spark, tmp_path):
     assert said == ["event is COMPLETELY BEFORE horizon by 1.000 ms", partial, "event window is FULLY CONTAINED within horizon", partial, partial, "event is COMPLETELY AFTER horizon by 1.000 ms"]
 
 
+def test_last_segments_leave_no_tie_open(spark):
+    """Segments of a camera that start together, without an index, some with one path: the same come, in one order."""
+    rows = [(cam, 100.0, 200.0 + end, f"/b/{path}.ts", None, 100.0 + end) for cam in (1, 2) for path in "abc" for end in range(4)]
+    schema, ends = "cam_id long, start_ms double, end_ms double, path string, index long, duration_ms double", {}
+    for way in (1, -1):
+        found = spark.createDataFrame(rows[::way], schema).repartition(3 + way)
+        ends[way] = [(r["cam_id"], r["path"], r["end_ms"]) for r in segments.last_n(found, 6, ("cam_id",)).collect()]
+        assert [(r["path"], r["end_ms"]) for r in segments.last_n(found, 12).collect()] == [(p, e) for _, _, e, p, *_ in sorted(rows, key=lambda r: (r[3], r[2]))[-12:]]
+    last = [("/b/b.ts", 202.0), ("/b/b.ts", 203.0), *(("/b/c.ts", 200.0 + end) for end in range(4))]
+    assert ends[1] == ends[-1] == [(cam, *x) for cam in (1, 2) for x in last]
+
+
 def test_overlaps_count_each_pair_once(spark):
     windows = spark.createDataFrame([(0.0, 250.0), (250.0, 260.0)], "clip_start_ms double, clip_stop_ms double")
     parts = spark.createDataFrame([(0.0, 100.0, "a"), (100.0, 250.0, "b"), (250.0, 900.0, "c")], "start_ms double, end_ms double, path string")

@@ -23,12 +23,13 @@ def parse_segments(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _order() -> list[Column]:
-    return [F.col("start_ms"), F.coalesce("index", F.lit(-1))]
+    """By start and index; paths and ends leave no tie open, whatever partitions the rows come in."""
+    return [F.col("start_ms"), F.coalesce("index", F.lit(-1)), F.col("path"), F.col("end_ms")]
 
 
 def latest_first() -> list[Column]:
     """The order from which the last n are taken."""
-    return [*[c.desc() for c in _order()], F.col("path").desc()]
+    return [c.desc() for c in _order()]
 
 
 def ordered(segments: DataFrame) -> DataFrame:
