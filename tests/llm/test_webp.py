@@ -192,3 +192,31 @@ def test_large_tile_images_end_exactly():
         modes = tuple(int(x) for x in rng.integers(0, 14, 900))
         for profile in (webp.Profile(predictor_tile=2, modes=modes), webp.Profile(predictor_tile=2, modes=modes, cross=(2, 3, 5, 7), subtract_green=True)):
             assert (webp.decode(webp.encode(image, profile)) == image).all()
+
+
+def test_grey_pixels_need_one_byte_each():
+    grey = next(x for name, x in images() if name == "grey")
+    for profile in (*PROFILES, *media.PROFILES):
+        assert encode(np.ascontiguousarray(grey[..., 1]), profile) == encode(grey, profile), profile
+
+
+@pytest.mark.parametrize("cache_bits", [1, 3, 8, 11])
+@pytest.mark.parametrize("match", [False, True])
+def test_cached_greens_are_read_in_pairs_as_one_by_one(monkeypatch, cache_bits, match):
+    """Few and many colours, back-references over what the cache gave, several windows of the data."""
+    rng = np.random.default_rng(cache_bits)
+    words = [rng.integers(97, 123, n, dtype=np.uint8) for n in rng.integers(3, 60, 200)]
+    for alphabet, n in ((2, 600), (26, 40_000), (256, 90_000)):
+        flat = np.concatenate([words[i] for i in rng.integers(0, 200, n // 20)])[:n] if alphabet == 26 else rng.integers(0, alphabet, n, dtype=np.uint8)
+        grey = np.resize(flat, (-(-n // 300), 300))
+        for alpha in (0, 255):
+            pixels = np.stack([grey * 0, grey, grey * 0, np.full_like(grey, alpha)], -1)
+            data = encode(pixels, Profile(cache_bits=cache_bits, match=match))
+            assert np.array_equal(decode(data), pixels), (alphabet, alpha)
+            pairs, calls = webp._read_pairs, []
+            with monkeypatch.context() as patch:
+                patch.setattr(webp, "_read_pairs", lambda *a: calls.append(a[4]) or pairs(*a))
+                assert np.array_equal(decode(data, grey=True), grey)
+                patch.setattr(webp, "_read_pairs", webp._read_greens)
+                assert np.array_equal(decode(data, grey=True), grey)
+            assert cache_bits in calls

@@ -11,7 +11,7 @@ from __future__ import annotations
 import struct
 from array import array
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -74,8 +74,8 @@ def _reversal(bits: int) -> np.ndarray:
 
 def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols by code, their lengths); a code must be complete, or be one symbol."""
-    used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
+    used = used[lengths[used].argsort(kind="stable")]
     return used, lengths[used]
 
 
@@ -88,18 +88,21 @@ class Code:
             raise WebpError("a prefix code without symbols")
         self.only = int(used[0]) if len(used) == 1 else None
         if self.only is not None:
-            self.bits, self.table = 0, [self.only << 4]
+            self.bits, self.entries = 0, np.array([self.only << 4])
             return
         self.bits = int(size[-1])
         span = np.left_shift(1, self.bits - size)
         if span.sum() != 1 << self.bits:
             raise WebpError("an incomplete prefix code")
-        self.entries = np.repeat(used << 4 | size, span)[_reversal(self.bits)]
-        self.table = self.entries.tolist()
+        self.entries = (used << 4 | size).repeat(span)[_reversal(self.bits)]
 
-    def pairs(self, literals: int = 256) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """(bits, lengths, symbols, how many): a table over the next ``bits`` bits that takes two literals at
-        once where both fit. Length 0 marks what is no literal."""
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
+
+    def pairs(self, cached: bool = False) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(bits, lengths, symbols, how many): a table over the next ``bits`` bits that takes two pixels (literals, or
+        places of the cache) at once where both fit. Length 0 marks what is no pixel."""
         bits = min(13, max(self.bits, 11))
         bits = max(bits, self.bits)
         index = np.arange(1 << bits)
@@ -108,11 +111,14 @@ class Code:
         size = one & 15
         two = self.entries[(index >> size) & short]
         both = size + (two & 15)
-        double = (both <= bits) & (two >> 4 < literals)
-        length = np.where(double, both, size)
-        length[one >> 4 >= literals] = 0
-        symbols = np.empty((1 << bits, 2), dtype=np.uint8)
+        symbols = np.empty((1 << bits, 2), dtype=np.uint16 if cached else np.uint8)
         symbols[:, 0], symbols[:, 1] = one >> 4, two >> 4
+        back = self.entries >> 4 >= 256
+        if cached:
+            back &= self.entries >> 4 < 256 + LENGTHS
+        double = (both <= bits) & ~back[(index >> size) & short]
+        length = np.where(double, both, size)
+        length[back[index & short]] = 0
         return bits, length.astype(np.uint8), symbols, double
 
 
@@ -132,6 +138,10 @@ class _Bits:
             raise WebpError("the data end too early")
         return int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7) & ((1 << n) - 1)  # n: up to 57, or unused
 
+    def peek(self) -> int:
+        """At least the next 25 bits, zeros beyond the end."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 4], "little") >> (self.at & 7)
+
     def ahead(self) -> int:
         """At least the next ``_AHEAD`` bits, zeros beyond the end."""
         return int.from_bytes(self.data[self.at >> 3 : (self.at + _AHEAD >> 3) + 1], "little") >> (self.at & 7)
@@ -149,16 +159,19 @@ def _only(symbol: int) -> Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, dtype=np.int64)
-    if bits.read(1):
-        two = bits.read(1)
-        symbols = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
+    head = bits.peek()
+    if head & 1:
+        two, used = head >> 1 & 1, 11 if head & 4 else 4
+        symbols = [head >> 3 & (255 if head & 4 else 1)] + [head >> used & 255] * two
+        bits.read(used + 8 * two)
         if max(symbols) >= alphabet:
             raise WebpError("a symbol outside its alphabet")
         if not two:
             return _only(symbols[0])
+        lengths = np.zeros(alphabet, dtype=np.int64)
         lengths[symbols] = 1
         return Code(lengths)
+    bits.read(1)
     own = np.zeros(19, dtype=np.int64)
     given = 4 + bits.read(4)
     packed = bits.read(3 * given)
@@ -197,8 +210,7 @@ def _read_code(bits: _Bits, alphabet: int) -> Code:
         bits.read(used)
     if len(found) > alphabet:
         raise WebpError("code lengths beyond the alphabet")
-    lengths[: len(found)] = found
-    return Code(lengths)
+    return Code(np.array(found, dtype=np.int64))
 
 
 # --- entropy-coded images ----------------------------------------------------------------------------
@@ -256,18 +268,42 @@ def _read_single(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
     constant = codes[3].only << 24 | codes[1].only << 16 | codes[2].only
     if codes[0].only is not None and codes[0].only < 256:
         return np.full(total, constant | codes[0].only << 8, dtype=np.uint32)
-    greens = _read_greens(bits, width, total, codes, cache_bits, constant) if cache_bits or codes[0].only is not None or total < 512 else _read_pairs(bits, width, total, codes)
+    greens = (_read_greens if codes[0].only is not None or total < 512 else _read_pairs)(bits, width, total, codes, cache_bits, constant)
     return greens.astype(np.uint32) << np.uint32(8) | np.uint32(constant)
 
 
+@lru_cache(maxsize=64)
+def _slots(cache_bits: int, constant: int) -> np.ndarray:
+    """The place in the colour cache of each green."""
+    colours = np.arange(256, dtype=np.uint32) << np.uint32(8) | np.uint32(constant)
+    return ((colours * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+
+
+def _from_cache(symbols: np.ndarray, cache: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Greens of literals and places of the cache, which holds the last literal of each place; keeps the cache."""
+    literal = symbols < 256
+    place = np.where(literal, slots[symbols & 255], symbols - (256 + LENGTHS))
+    if literal.all():
+        cache[place] = symbols
+        return symbols.astype(np.uint8)
+    # what the cache held goes first; by place and time, each then stands for those behind it up to the next literal
+    all_places = np.concatenate([np.arange(len(cache), dtype=np.uint16), place])
+    greens = np.concatenate([cache, symbols.astype(np.int16)])
+    order = all_places.argsort(kind="stable")
+    known = np.concatenate([np.ones(len(cache), dtype=bool), literal])[order]
+    greens[order] = greens[order[np.maximum.accumulate(np.where(known, np.arange(len(order)), 0))]]
+    greens = greens[len(cache) :]
+    if greens.min() < 0:
+        raise _NotCached
+    cache[place] = greens
+    return greens.astype(np.uint8)
+
+
 def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_bits: int, constant: int) -> np.ndarray:
     table, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, codes[4]
     near, out = _near_distances(width), bytearray()
     append = out.append
-    cache, slots = [0 if constant == 0 else -1] * (1 << cache_bits), None
-    if cache_bits:
-        colours = np.arange(256, dtype=np.uint32) << np.uint32(8) | np.uint32(constant)
-        slots = ((colours * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).tolist()
+    cache, slots = [0 if constant == 0 else -1] * (1 << cache_bits), _slots(cache_bits, constant).tolist() if cache_bits else None
     while len(out) < total:
         window, first = _windows(bits, bits.at, False)
         base = first * 8
@@ -302,15 +338,17 @@ def _read_greens(bits: _Bits, width: int, total: int, codes: list[Code], cache_b
     return np.frombuffer(bytes(out[:total]), np.uint8)
 
 
-def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.ndarray:
-    """Without a cache: literals go up to eight at a time.
+def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code], cache_bits: int, constant: int) -> np.ndarray:
+    """Pixels go up to four at a time.
 
     Numpy looks up at every bit how far the next one or two literals reach, and adds these hops up twice; the loop only
     hops from bit to bit, and numpy lays out what stands where it has been, and on the way. Where that is more than
     the image holds, the last literal tells where the data go on.
     """
-    wide, lengths, symbols, double = codes[0].pairs()
-    table, short, mask, distances = codes[0].table, (1 << codes[0].bits) - 1, np.uint32((1 << wide) - 1), codes[4]
+    wide, lengths, symbols, double = codes[0].pairs(cache_bits > 0)
+    if cache_bits:
+        slots, cache = _slots(cache_bits, constant), np.full(1 << cache_bits, 0 if constant == 0 else -1, dtype=np.int16)
+    table, short, mask, distances = codes[0].entries, (1 << codes[0].bits) - 1, np.uint32((1 << wide) - 1), codes[4]
     near, out, each = _near_distances(width), bytearray(), np.arange(8, dtype=np.uint32)
     while len(out) < total:
         first = bits.at >> 3
@@ -349,16 +387,22 @@ def _read_pairs(bits: _Bits, width: int, total: int, codes: list[Code]) -> np.nd
                 if len(at) and upto[-1] >= left:
                     k = int(np.searchsorted(upto, left))
                     whole = upto[k] == left
-                    p = int(stops[k]) + (int(one[stops[k]]) if whole else table[int(at[k]) & short] & 15)
-                    out += symbols[at[: k + 1]][both[: k + 1]].tobytes()[:left]
+                    p = int(stops[k]) + (int(one[stops[k]]) if whole else int(table[int(at[k]) & short]) & 15)
+                    greens = symbols[at[: k + 1]][both[: k + 1]][:left]
+                    out += (_from_cache(greens, cache, slots) if cache_bits else greens).tobytes()
                     break
-            out += symbols[at][both].tobytes()
+            greens = symbols[at][both]
+            out += (_from_cache(greens, cache, slots) if cache_bits and len(greens) else greens).tobytes()
             if back:
-                e = table[int(index[p]) & short]
+                e = int(table[int(index[p]) & short])
                 bits.at = base + p + (e & 15)
                 length = _value(bits, (e >> 4) - 256)
                 code = _value(bits, bits.symbol(distances))
+                start = len(out)
                 _copy(out, code - 120 if code > 120 else near[code - 1], length)
+                if cache_bits:
+                    greens = np.frombuffer(bytes(out[start:]), np.uint8)
+                    cache[slots[greens]] = greens
                 p = bits.at - base
         bits.at = base + p
     if bits.at > bits.end:
@@ -475,20 +519,24 @@ def _unpredict(residual: np.ndarray, tile: int, modes: np.ndarray) -> np.ndarray
     height, width, _ = out.shape
     out[0, :1, 3] += 255
     np.cumsum(out[0], axis=0, dtype=np.uint8, out=out[0])
-    starts = np.arange(0, width, 1 << tile)
+    starts, shared = np.arange(0, width, 1 << tile), -1
     for y in range(1, height):
         row, top = out[y], out[y - 1]
         row[0] += top[0]
         if width == 1:
             continue
-        mode = modes[y >> tile]
-        if all(m in _ABOVE for m in set(mode.tolist())):
+        if y >> tile != shared:
+            shared = y >> tile
+            mode = modes[shared]
+            used = sorted(set(mode.tolist()))
+            by_pixel = mode.repeat(1 << tile)[1:width, None]
+            places = [(m, by_pixel == m) for m in used]
+            apart = all(m in _ABOVE for m in used)
+        if apart:
             tr = np.concatenate([top[2:], row[:1]])
-            by_pixel = np.repeat(mode, 1 << tile)[1:width]
-            guess = [(m, _ABOVE[m](top[1:], tr, top[:-1])) for m in sorted(set(mode.tolist()))]
-            add = np.broadcast_to(guess[0][1], tr.shape)
-            for m, own in guess[1:]:
-                add = np.where((by_pixel == m)[:, None], own, add)
+            add = _ABOVE[used[0]](top[1:], tr, top[:-1])
+            for m, own in places[1:]:
+                add = np.where(own, _ABOVE[m](top[1:], tr, top[:-1]), add)
             row[1:] += add
             continue
         for m, x0 in zip(mode.tolist(), starts.tolist()):
@@ -516,18 +564,22 @@ def _spread(values: np.ndarray, tile: int, height: int, width: int) -> np.ndarra
 
 
 def _delta(factor: np.ndarray, colour: np.ndarray) -> np.ndarray:
-    return ((factor.view(np.int8).astype(np.int32) * colour.view(np.int8)) >> 5).astype(np.uint8)
+    return ((factor.view(np.int8).astype(np.int16) * colour.view(np.int8)) >> 5).astype(np.uint8)
 
 
 def _cross(image: np.ndarray, tile: int, elements: np.ndarray, sign: int) -> np.ndarray:
     """Adds (sign 1) or takes away (-1) the cross-colour parts, in place. elements: tiles as [B, G, R, A]."""
     height, width, _ = image.shape
-    to_red, to_blue, red_to_blue = (np.ascontiguousarray(_spread(elements[..., k], tile, height, width)) for k in (0, 1, 2))
-    blue, green, red = (image[..., k].copy() for k in (0, 1, 2))
-    decoded_red = red + _delta(to_red, green) if sign > 0 else red
-    image[..., 2] = decoded_red if sign > 0 else red - _delta(to_red, green)
-    change = _delta(to_blue, green) + _delta(red_to_blue, decoded_red)
-    image[..., 0] = blue + change if sign > 0 else blue - change
+    if elements.shape[:2] != (1, 1):
+        elements = _spread(elements, tile, height, width)
+    to_red, to_blue, red_to_blue = (elements[..., k] for k in (0, 1, 2))
+    blue, green, red = (image[..., k] for k in (0, 1, 2))  # parts of the image
+    if sign > 0:
+        red += _delta(to_red, green)
+        blue += _delta(to_blue, green) + _delta(red_to_blue, red)
+    else:
+        blue -= _delta(to_blue, green) + _delta(red_to_blue, red)
+        red -= _delta(to_red, green)
     return image
 
 
@@ -625,7 +677,7 @@ class _Out:
         np.not_equal(word[1:], word[:-1], out=new[1:])
         first = new.nonzero()[0]
         out[word[first]] = np.add.reduceat(values << shift, first)
-        over = np.flatnonzero((at & 63) + sizes > 64)
+        over = ((at & 63) + sizes > 64).nonzero()[0]
         out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
         return out.tobytes()[: (int(end[-1]) + 7) >> 3]
 
@@ -636,7 +688,7 @@ _HEAVY = 1 << 62
 
 def _lengths(frequency: np.ndarray, limit: int) -> np.ndarray:
     """Huffman code lengths of at most ``limit`` bits; rare symbols count more until the code is flat enough."""
-    used = np.flatnonzero(frequency)
+    used = frequency.nonzero()[0]
     out = np.zeros(len(frequency), dtype=np.int64)
     if len(used) < 2:
         out[used] = 1
@@ -644,7 +696,7 @@ def _lengths(frequency: np.ndarray, limit: int) -> np.ndarray:
     n, weight = len(used), frequency[used]
     while True:
         # sorted leaves and the nodes made of them, which come in order too: the lightest two are at their heads
-        order = np.argsort(weight, kind="stable")
+        order = weight.argsort(kind="stable")
         leaves, made, parent = [*weight[order].tolist(), _HEAVY, _HEAVY], [_HEAVY] * (n + 1), [0] * (2 * n - 1)
         i = j = 0
         for node in range(n - 1):
@@ -741,8 +793,8 @@ def _matches(items: np.ndarray, shortest: int = 16) -> list[tuple[int, int, int]
     half = 8 // size
     key = window[: count + 1] * np.uint64(0x9E3779B97F4A7C15) ^ window[half : half + count + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
     short = ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.uint16)
-    order = np.argsort(short, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    order = short.argsort(kind="stable")
+    same = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
     if not len(same):
         return []
     found = np.sort(order[same + 1])
@@ -769,7 +821,7 @@ def _write_image(out: _Out, pixels: np.ndarray, width: int, main: bool = False,
     out.put(1, 1) if cache_bits else out.put(0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
-    n, group = len(pixels), np.zeros(len(pixels) if group_tile else 1, dtype=np.int64)
+    n, group = len(pixels), np.zeros(1, dtype=np.int64)
     if main:
         out.put(1 if group_tile else 0, 1)
         if group_tile:
@@ -785,26 +837,22 @@ def _write_image(out: _Out, pixels: np.ndarray, width: int, main: bool = False,
     literal = np.ones(n, dtype=bool)
     if cache_bits:
         slot = ((pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
-        order = np.argsort(slot, kind="stable")
+        order = slot.argsort(kind="stable")
         hit = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])]
         symbol[hit] = 256 + LENGTHS + slot[hit].astype(np.int64)
         literal[hit] = False
     found = _matches(np.ascontiguousarray(channels[:, 1]) if plain else pixels) if match else []
-    covered = np.zeros(n, dtype=bool)
-    tokens = []
-    near = _near_codes(width)
+    keep, tokens, near = np.ones(n, dtype=bool), [], _near_codes(width)
     for start, length, distance in found:
-        covered[start : start + length] = True
+        keep[start : start + length] = False
         tokens.append((start, *_prefixed(length), *_prefixed(near.get(distance, distance + 120))))
-    starts = np.array([t[0] for t in tokens], dtype=np.int64)
-    literal &= ~covered
-    own = np.flatnonzero(~covered)
+    literal &= keep
+    own = keep.nonzero()[0] if found or group_tile else slice(None)
     green = 256 + LENGTHS + (1 << cache_bits if cache_bits else 0)
     values, sizes = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
     many = bool(group_tile)
     for g in range(int(group.max(initial=0)) + 1 if many else 1):
         mine = own[group[own] == g] if many else own
-        texts = (literal & (group == g) if many else literal).nonzero()[0]
         backs = [t for t in tokens if group[t[0]] == g] if many else tokens
         frequency = np.bincount(symbol[mine], minlength=green)
         if backs:
@@ -815,6 +863,7 @@ def _write_image(out: _Out, pixels: np.ndarray, width: int, main: bool = False,
             if plain:
                 _write_only(out, int(channels[0, k]))
                 continue
+            texts = (literal & (group == g) if many else literal).nonzero()[0] if k == 2 else texts
             colour = channels[texts, k]
             w, b = _write_code(out, np.bincount(colour, minlength=256))
             values[texts] |= w[colour] << sizes[texts].astype(np.uint64)
@@ -828,8 +877,10 @@ def _write_image(out: _Out, pixels: np.ndarray, width: int, main: bool = False,
             value, at = value | l_extra << at, at + l_bits
             value, at = value | int(w[d_symbol]) << at, at + int(b[d_symbol])
             values[start], sizes[start] = value | d_extra << at, at + d_bits
-    keep = ~covered
-    keep[starts] = True
+    if not found:
+        out.put_all(values, sizes)
+        return
+    keep[[t[0] for t in tokens]] = True
     out.put_all(values[keep], sizes[keep])
 
 
@@ -848,13 +899,12 @@ def _predict(image: np.ndarray, tile: int, modes: np.ndarray | None) -> tuple[np
     tl = image[:-1, :-1]
     tr = np.concatenate([image[:-1, 2:], image[1:, :1]], axis=1)
     if modes is None:
-        tries = []
+        k, tries = min(1, image.shape[2] - 1), []
+        ys, xs = (np.maximum(np.arange(0, n, 1 << tile) - 1, 0) for n in (height, width))  # where tiles begin inside
         for mode in (0, 2, 4, 9):
-            k = min(1, image.shape[2] - 1)
-            rest = (inner[..., k] - np.broadcast_to(_ABOVE[mode](top, tr, tl)[..., :1] if mode == 0 else _ABOVE[mode](top, tr, tl), inner.shape)[..., k]).view(np.int8)
-            cost = np.zeros((down << tile, across << tile), dtype=np.int64)
-            cost[1:height, 1:width] = np.abs(rest.astype(np.int16))
-            tries.append(cost.reshape(down, 1 << tile, across, 1 << tile).sum((1, 3)))
+            rest = inner[..., k] - _ABOVE[mode](top[..., k], tr[..., k], tl[..., k]) if mode else inner[..., k]
+            cost = np.abs(rest.view(np.int8).astype(np.int16))
+            tries.append(np.add.reduceat(np.add.reduceat(cost, ys, axis=0, dtype=np.int64), xs, axis=1))
         modes = np.array([0, 2, 4, 9], dtype=np.uint8)[np.argmin(tries, axis=0)]
     by_pixel = _spread(modes, tile, height, width)[1:, 1:]
     for mode in np.unique(modes).tolist():
@@ -883,20 +933,23 @@ class Profile:
 
 
 def encode(pixels: np.ndarray, profile: Profile = Profile()) -> bytes:
-    """A lossless WebP file of (height, width, [R, G, B, A]) bytes."""
-    height, width, _ = pixels.shape
+    """A lossless WebP file of (height, width, [R, G, B, A]) bytes, or of (height, width) grey ones."""
+    height, width = pixels.shape[:2]
     if not (1 <= width <= MAX_SIDE and 1 <= height <= MAX_SIDE):
         raise WebpError("an image of that size can't be")
     out = _Out()
     out.put(SIGNATURE, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
-    out.put(int((pixels[..., 3] != 255).any()), 1)
+    image, grey = np.empty((height, width, 4), dtype=np.uint8), pixels.ndim == 2
+    if grey:
+        image[..., :3], image[..., 3] = pixels[..., None], 255
+    else:
+        for k in range(4):
+            image[..., k] = pixels[..., (2, 1, 0, 3)[k]]
+        grey = bool((image[..., 3] == 255).all() and (image[..., 0] == image[..., 1]).all() and (image[..., 2] == image[..., 1]).all())
+    out.put(int(not grey and (image[..., 3] != 255).any()), 1)
     out.put(0, 3)
-    image = np.empty(pixels.shape, dtype=np.uint8)
-    for k in range(4):
-        image[..., k] = pixels[..., (2, 1, 0, 3)[k]]
-    grey = bool((image[..., 3] == 255).all() and (image[..., 0] == image[..., 1]).all() and (image[..., 2] == image[..., 1]).all())
     flat = lambda x: np.ascontiguousarray(x).reshape(-1, 4).view("<u4").ravel()
     if profile.palette:
         if grey:
@@ -945,7 +998,6 @@ def encode(pixels: np.ndarray, profile: Profile = Profile()) -> bytes:
         image = _cross(image, tile, elements, -1)
     if profile.subtract_green:
         out.put(1 | SUBTRACT_GREEN << 1, 3)
-        image = image.copy()
         image[..., 0] -= image[..., 1]
         image[..., 2] -= image[..., 1]
     out.put(0, 1)
