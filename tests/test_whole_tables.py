@@ -108,3 +108,12 @@ def test_last_segments_come_in_the_order_of_their_sql(spark, tmp_path):
     expected = duck.execute(catalog.ORACLE_SQL["segments_last_n"]).fetchall()
     assert [tuple(r) for r in catalog.QUERIES["segments_last_n"](spark, folder).collect()] == expected
     assert len(expected) == 50 and sum(r[0] == "-" for r in expected) > 2
+
+
+def test_last_segments_of_cameras_are_not_sorted_as_a_whole(spark, tmp_path):
+    """Its SQL has no order."""
+    folder = event_table(spark, tmp_path, [(cam, 10 * cam + i, datetime(2024, 1, 5 + i), "view", 1.0) for cam in range(20) for i in range(8)])
+    found = catalog.QUERIES["segments_last_n_by_camera"](spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "rangepartitioning" not in plan
+    assert found.count() == 100

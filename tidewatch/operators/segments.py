@@ -41,15 +41,17 @@ def horizon(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return segments.groupBy(*keys).agg(F.min("start_ms").alias("earliest_ms"), F.max("end_ms").alias("latest_ms"), F.count("*").alias("n_segments"))
 
 
-def last_n(segments: DataFrame, n: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The last n (one at least) of all, or of each value of ``keys``, shown in ascending order; idx is the index or ``-``."""
+def last_n(segments: DataFrame, n: int = 50, keys: tuple[str, ...] = (), sort: bool = True) -> DataFrame:
+    """The last n (one at least) of all, or of each value of ``keys``; idx is the index or ``-``. Shown in ascending order, or,
+    without ``sort``, in any: a sort of all keys' rows is one more pass."""
     back, n = latest_first(), max(1, n)
     if keys:
         # Spark drops rows beyond n before it exchanges them
         tail = segments.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*back))).where(F.col("_place") <= n).drop("_place")
     else:
         tail = segments.orderBy(*back).limit(n)
-    return tail.withColumn("idx", F.coalesce(F.col("index").cast("string"), F.lit("-"))).orderBy(*keys, *_order())
+    tail = tail.withColumn("idx", F.coalesce(F.col("index").cast("string"), F.lit("-")))
+    return tail.orderBy(*keys, *_order()) if sort else tail
 
 
 def against_horizon(start: Column, stop: Column, earliest: Column, latest: Column) -> Column:
